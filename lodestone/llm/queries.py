@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, line_dedup, media, mixing, sharding, simhash, syncmers, token_files
-from lodestone.llm.common import documents, pattern, tokenizer
+from lodestone.llm import bpe, line_dedup, media, mixing, quality, sharding, simhash, syncmers, token_files, toxicity
+from lodestone.llm.common import documents, labels, pattern, tokenizer
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +30,18 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(documents(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(documents(spark, sf_dir))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(documents(spark, sf_dir))
 
@@ -45,6 +53,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_line_dedup": op2_line_dedup,
+    "op3_toxicity": op3_toxicity,
+    "op6_quality": op6_quality,
     "op5_simhash": op5_simhash,
     "op8_token_files": op8_token_files,
     "op9_media": op9_media,

@@ -29,6 +29,9 @@ from pyspark.sql import types as T
 from lodestone.llm.pieces import Store, gather, with_ids
 
 SHIFT = 20
+#: Strings whose ids a worker keeps, and ids decoded at a time.
+MOST_KEPT = 400_000
+STEP = 1 << 18
 
 
 @lru_cache(maxsize=2)
@@ -192,7 +195,7 @@ def _store(path: str, pattern: str) -> Store:
         stops = np.concatenate([[0], np.cumsum(many)])
         return gather(ids, ends[at], ends[at + 1]), np.diff(each[stops])
 
-    return Store(encode, words.findall)
+    return Store(encode, words.findall, MOST_KEPT)
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -218,8 +221,13 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
             flat, ends, null = col.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(np.nan_to_num(col.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))]), col.is_null().to_pylist()
             if len(flat) and not (0 <= flat.min() and flat.max() < len(token)):
                 raise ValueError("an id outside the vocabulary")
-            words = list(map(token.__getitem__, flat.tolist()))
-            made = [None if null[i] else b"".join(words[ends[i] : ends[i + 1]]) for i in range(b.num_rows)]
+            made: list[bytes | None] = []
+            while len(made) < b.num_rows:  # whole rows, about STEP ids of them
+                first = len(made)
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + STEP, side="right")) - 1)
+                words = list(map(token.__getitem__, flat[ends[first] : ends[last]].tolist()))
+                cuts = (ends[first : last + 1] - ends[first]).tolist()
+                made += [None if null[first + i] else b"".join(words[x:y]) for i, (x, y) in enumerate(zip(cuts, cuts[1:]))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], names=[*b.schema.names, out])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))

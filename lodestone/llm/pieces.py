@@ -22,19 +22,19 @@ UNSAFE = r" (?:[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]|\z)"
 #: Marks a string that is tokenized as it stands; other keys stand for " " + key.
 RAW = "\n"
 #: Text gathered before new pieces are tokenized together, and strings kept by a worker.
-BLOCK_BYTES = 24 << 20
-MOST_KEPT = 1_200_000
+BLOCK_BYTES = 8 << 20
+MOST_KEPT = 1_000_000
 
 
 class Store:
-    """String -> ids, for at most MOST_KEPT strings and those of one block.
+    """String -> ids, for at most ``most`` strings and those of one block.
 
     ``encode`` turns strings into their ids end to end and each one's count;
     ``cut`` turns a text that cannot be cut at spaces into strings.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cut: Callable[[str], list[str]]):
-        self.encode, self.cut = encode, cut
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cut: Callable[[str], list[str]], most: int = MOST_KEPT):
+        self.encode, self.cut, self.most = encode, cut, most
         self.clear()
 
     def clear(self) -> None:
@@ -57,7 +57,7 @@ class Store:
 
     def column(self, texts: pa.Array) -> pa.ListArray:
         """The ids of each text (null: none)."""
-        if len(self.index) > MOST_KEPT:
+        if len(self.index) > self.most:
             self.clear()
         texts = texts.fill_null("")
         unsafe = np.flatnonzero(pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False))

@@ -30,7 +30,7 @@ from lodestone.llm.pieces import Store, gather, with_ids
 
 SHIFT = 20
 #: Strings whose ids a worker keeps, and ids decoded at a time.
-MOST_KEPT = 400_000
+MOST_KEPT = 150_000
 STEP = 1 << 18
 
 

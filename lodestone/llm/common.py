@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-ARROW_BYTES = str(8 << 20)
+ARROW_ROWS = "1000"
 NULL_ID_LAST = (1 << 63) - 1
 NULL_ID_FIRST = -(1 << 63)
 
@@ -46,8 +46,8 @@ def ready(spark: SparkSession) -> SparkSession:
     paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(":")
     if ROOT not in paths:
         env["PYTHONPATH"] = ":".join([ROOT, *filter(None, paths)])
-    # Batches are bounded by bytes, for tables with very long texts.
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    # Small batches, for tables with very long texts.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark
 
 

@@ -54,7 +54,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
     path = tokenizer("byte_bpe_multi_50k.tiktoken")
     rows = docs.select("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), "text")
-    out = bpe.decode(bpe.encode(rows, path, pattern()), path)
+    out = bpe.round_trip(rows, path, pattern())
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("sha")).alias("intact"))
 
 

@@ -198,44 +198,49 @@ def _store(path: str, pattern: str) -> Store:
     return Store(encode, words.findall, MOST_KEPT)
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """Replaces the column ``text`` by ``out`` array<int>: the ids by the rank file at ``path``."""
+def _schema(df: DataFrame, text: str, out: str) -> T.StructType:
     if out.lower() in (c.lower() for c in df.columns if c != text):
         raise ValueError(f"there is a column {out} already")
+    return T.StructType([f for f in df.schema if f.name != text] + [T.StructField(out, T.ArrayType(T.IntegerType(), False))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return with_ids(batches, text, out, _store(path, pattern))
 
-    kept = [c for c in df.columns if c != text]
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(out, T.ArrayType(T.IntegerType(), False))])
-    return df.select(*[f"`{c}`" for c in [*kept, text]]).mapInArrow(run, schema)
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+    """Replaces the column ``text`` by ``out`` array<int>: the ids by the rank file at ``path``."""
+    return df.mapInArrow(lambda it: with_ids(it, text, out, _store(path, pattern)), _schema(df, text, out))
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], path: str, ids: str, out: str) -> Iterator[pa.RecordBatch]:
+    token = token_bytes(path)
+    for b in batches:
+        col = b.column(ids)
+        flat, null = col.flatten().to_numpy(zero_copy_only=False), col.is_null().to_pylist()
+        ends = np.concatenate([[0], np.cumsum(col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+        if len(flat) and not (0 <= flat.min() and flat.max() < len(token)):
+            raise ValueError("an id outside the vocabulary")
+        made: list[bytes | None] = []
+        while len(made) < b.num_rows:  # whole rows, about STEP ids of them
+            first = len(made)
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + STEP, side="right")) - 1)
+            words = list(map(token.__getitem__, flat[ends[first] : ends[last]].tolist()))
+            cuts = (ends[first : last + 1] - ends[first]).tolist()
+            made += [None if null[first + i] else b"".join(words[x:y]) for i, (x, y) in enumerate(zip(cuts, cuts[1:]))]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], names=[*b.schema.names, out])
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds ``out`` binary: the bytes that the ids stand for (null ids: null)."""
+    return df.mapInArrow(lambda it: _decoded(it, path, ids, out), T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = token_bytes(path)
-        for b in batches:
-            col = b.column(ids)
-            flat, ends, null = col.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(np.nan_to_num(col.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))]), col.is_null().to_pylist()
-            if len(flat) and not (0 <= flat.min() and flat.max() < len(token)):
-                raise ValueError("an id outside the vocabulary")
-            made: list[bytes | None] = []
-            while len(made) < b.num_rows:  # whole rows, about STEP ids of them
-                first = len(made)
-                last = max(first + 1, int(np.searchsorted(ends, ends[first] + STEP, side="right")) - 1)
-                words = list(map(token.__getitem__, flat[ends[first] : ends[last]].tolist()))
-                cuts = (ends[first : last + 1] - ends[first]).tolist()
-                made += [None if null[first + i] else b"".join(words[x:y]) for i, (x, y) in enumerate(zip(cuts, cuts[1:]))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], names=[*b.schema.names, out])
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """decode(encode(df)): ids and decoded, in one pass of one worker."""
+    schema = T.StructType([*_schema(df, text, "ids").fields, T.StructField("decoded", T.BinaryType())])
+    return df.mapInArrow(lambda it: _decoded(with_ids(it, text, "ids", _store(path, pattern)), path, "ids", "decoded"), schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of the encoded and decoded documents."""
-    coded = decode(encode(docs.select("doc_id", "text"), path, pattern), path)
+    coded = round_trip(docs.select("doc_id", "text"), path, pattern)
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -102,13 +102,13 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7) -> Model:
     """Vectors and softmax layer by stochastic gradient descent, the rate falling to zero."""
     if not len(texts) or y.min() == y.max():
         return Model(np.zeros(BUCKETS), 0.0 if not len(texts) else (4.0 if y[0] else -4.0))
-    cut = [t.split() for t in texts]
-    counts = [Counter(ws) for ws in cut]
+    counts = [Counter(t.split()) for t in texts]
     place = {w: i for i, w in enumerate(dict.fromkeys(w for c in counts for w in c))}
     flat, many = features(list(place))
     ends = np.cumsum(many)
     cells, shares = [], []
-    for ws, c in zip(cut, counts):
+    for t, c in zip(texts, counts):
+        ws = t.split()
         at = np.fromiter(map(place.__getitem__, c), np.int64, len(c))
         found = gather(flat, ends[at] - many[at], ends[at])
         n = np.bincount(found, np.repeat(np.fromiter(c.values(), np.float64, len(c)), many[at]), BUCKETS)
@@ -116,6 +116,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7) -> Model:
         k = np.flatnonzero(n)
         cells.append(k)
         shares.append(n[k] / max(n.sum(), 1))
+    del counts, place, flat
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / SIZE, 1 / SIZE, (BUCKETS, SIZE))
     layer, bias = np.zeros((2, SIZE)), np.zeros(2)

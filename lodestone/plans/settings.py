@@ -78,7 +78,7 @@ NOTES = T.StructType([
 
 CHUNKS = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("id", "path", "folder", "basename")]
-    + [T.StructField("mtime", T.LongType()), T.StructField("size", T.LongType()), T.StructField("position", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("vector", T.ArrayType(T.FloatType(), False))]
+    + [T.StructField("mtime", T.LongType()), T.StructField("size", T.LongType()), T.StructField("position", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("vector", T.ArrayType(T.FloatType(), True))]
     + [T.StructField(c, T.StringType()) for c in ("title", "status", "project", "type", "content_hash", "body_hash", "frontmatter_hash", "chunking_config_hash", "embedding_model")]
     + [T.StructField("embedding_dim", T.IntegerType()), T.StructField("indexed_at", T.StringType())]
     + [T.StructField(c, TEXTS) for c in ("tags", "inline_tags", "frontmatter_tags", "aliases", "frontmatter_keys")]

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from lodestone.llm.training import HELD_OUT, fold, sample, sigmoid
 
 BUCKETS = 1 << 20
-EPOCHS, BATCH, RATE, DECAY, KEEP = 20, 64, 1.0, 0.02, 0.5
+EPOCHS, BATCH, RATE, DECAY, KEEP, LEAST_STEPS = 20, 64, 1.0, 0.02, 0.5, 800
 #: Labelled documents it learns from, characters of them at most.
 SAMPLE = (4000, 16_000_000)
 START = -7.0
@@ -103,7 +103,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 11) -> Model:
     row, col, of = words.bags(texts)
     first = np.searchsorted(of, np.arange(len(texts) + 1))
     cell = np.searchsorted(row, np.arange(len(of) + 1))
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS // -(-len(texts) // BATCH)))):
         order = rng.permutation(len(texts))
         for i in range(0, len(order), BATCH):
             own = order[i : i + BATCH]

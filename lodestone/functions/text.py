@@ -84,7 +84,7 @@ def excerpt(text: Column, size: int = EXCERPT) -> Column:
 
 
 def score_label(fused: Column, rerank_rank: Column, rerank: Column, vector_rank: Column, lexical_rank: Column, score: Column) -> Column:
-    """How a result shows its scores: fused with its parts, else the plain score."""
+    """How a result shows its scores: fused with its parts, else the plain score; halves of the decimal value round up."""
     parts = F.array_compact(F.array(
         F.when(rerank.isNotNull(), F.format_string("r%.2f", rerank)),
         F.when(vector_rank.isNotNull(), F.format_string("v#%d", vector_rank)),

@@ -348,7 +348,7 @@ def sql() -> dict[str, str]:
             count(*) FILTER (o = 'metadata-only') AS metadata_only, count(*) FILTER (o = 'unchanged') AS unchanged, count(*) FILTER (o = 'failed') AS failed,
             count(*) FILTER (o = 'queued') AS queued FROM (SELECT {OUTCOME} AS o FROM events)""",
         "status_counts": _with(f"SELECT count(*) AS chunks, count(DISTINCT path) AS paths FROM ({chunks_sql()})"),
-        "render_scores": f"""SELECT id, 'rrf ' || printf('%.4f', fused) || ' (' || concat_ws(' ', 'v#' || vector_rank, 'bm25#' || lexical_rank) || ')' AS label
+        "render_scores": f"""SELECT id, 'rrf ' || round(fused::DECIMAL(18, 12), 4)::DECIMAL(18, 4)::VARCHAR || ' (' || concat_ws(' ', 'v#' || vector_rank, 'bm25#' || lexical_rank) || ')' AS label
             FROM (SELECT *, {RRF_SQL} AS fused FROM ({merged_sql()}))""",
         "excerpt": one("id, substr(text, 1, 700) AS excerpt", chunks_sql()),
         "path_query": "SELECT doc_id, coalesce(regexp_matches(trim(text), '^(LIST|TABLE|TASK|CALENDAR)\\b', 'i'), false) AS is_query FROM documents",

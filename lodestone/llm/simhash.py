@@ -9,9 +9,9 @@ walks on in numpy and returns a spanning forest of its links, never the pairs.
 Forests are joined into components by star contraction.
 
 Documents with equal fingerprints meet as one; no group of copies is expanded. A
-text without words has fingerprint 0. Null doc_ids link like any other and never
-name a component unless all its ids are null (then it is null). Repeated rows give
-repeated results.
+text without words has fingerprint 0. Links are between fingerprints, so documents
+with null or repeated ids link by their texts alone. A component is named by its
+least doc_id; null if all its ids are null. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import NULL_ID_LAST, written
+from lodestone.llm.common import written
 from lodestone.llm.components import components
 
 SHINGLE, SEED, BITS = 3, 42, 2
@@ -220,10 +220,11 @@ def trie_links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
 def clusters(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """doc_id, fp, component_id: the least doc_id reachable by links of at most ``bits`` bits."""
     fps = written(fingerprints(docs), "simhash")
-    distinct = written(fps.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID_LAST))).alias("rep")), "distinct")
-    roots = components(trie_links(distinct, bits))
-    named = distinct.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component"))
-    return fps.join(named, "fp").select("doc_id", "fp", F.nullif(F.col("component"), F.lit(NULL_ID_LAST)).alias("component_id"))
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    links = trie_links(distinct.select("fp", F.col("fp").alias("rep")), bits)
+    rooted = distinct.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return fps.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int
 
     The sample is the documents that come first in the order of a hash, taken whole
     until they have ``chars`` characters; rows without a text, id or label are left out.
+    Of repeated rows of an id the longest text counts, and its highest label.
     """
     marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
     marks = marks.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
@@ -34,7 +35,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int
     picked = docs.sparkSession.createDataFrame(chosen, "doc_id long, y int")
     # At most ``rows`` ids: a proven bound for the broadcast.
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null")
-    got = sorted({(r.doc_id, r.text, r.y) for r in found.collect()})
+    # One text an id, so repeated rows do not add up on the driver.
+    longest = found.groupBy("doc_id", "y").agg(F.max(F.struct(F.length("text").alias("n"), "text"))["text"].alias("text"))
+    got = sorted((r.doc_id, r.text, r.y) for r in longest.collect())
     return [t for _, t, _ in got], np.array([y for _, _, y in got], np.float64)
 
 

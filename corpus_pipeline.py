@@ -2,7 +2,9 @@
 
 Stages return the columns of documents in their order, n_chars kept true to the
 text; the last returns doc_id, lang, source, n_tokens, ids and intact. Null texts
-pass as they are (and count as empty); an empty table passes through.
+pass as they are (and count as empty); an empty table passes through; other columns,
+whatever their names, are carried along up to the last stage. Rows with a null
+doc_id are documents of their own; rows that share one count as one near duplicate.
 """
 
 from __future__ import annotations
@@ -11,36 +13,44 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, line_dedup, mixing, quality, simhash
-from lodestone.llm.common import NULL_ID_LAST, documents, fresh, labels, pattern, ready, scratch, tokenizer
+from lodestone.llm.common import columns, documents, fresh, labels, pattern, ready, scratch, text_or_empty, tokenizer
 
 #: Documents that score less are rejected.
 LEAST_QUALITY = 0.5
+#: Where the ids of rows without one begin while near duplicates are sought.
+NO_ID = 1 << 62
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on labelled documents outside the held-out fold, does not reject."""
     model = quality.fitted(docs, labels(ready(spark), sf_dir))
-    return quality.score(docs, model).where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    (score,) = fresh(docs, "score")
+    return quality.score(docs, model, score).where(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that three or more of them hold, but for the last such document."""
     ready(spark)
-    out = line_dedup.dedup(docs)
+    lines, dropped = fresh(docs, "lines", "dropped")
+    out = line_dedup.dedup(docs, counts=(lines, dropped))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop(lines, dropped)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group of near-duplicates."""
+    """One document, that of the least doc_id, of each group of near-duplicates.
+
+    A row without an id goes by a number made from its text, above all ids.
+    """
     ready(spark)
     key, n = fresh(docs, "key", "n")
-    last = F.lit(NULL_ID_LAST)
-    kept = simhash.clusters(docs).where(F.coalesce("doc_id", last) == F.coalesce("component_id", last)).select(F.coalesce("doc_id", last).alias(key)).distinct()
-    rows = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), last)).join(kept, key, "left_semi")
+    made = F.lit(NO_ID) + F.xxhash64(text_or_empty()).bitwiseAND(F.lit(NO_ID - 1))
+    rows = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), made))
+    found = simhash.clusters(rows.select(F.col(key).alias("doc_id"), "text"))
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
     one = Window.partitionBy(key).orderBy("text")
-    return rows.withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).select(*docs.columns)
+    return rows.join(kept, key, "left_semi").withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).select(*columns(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.common import mapped
 from lodestone.llm.pieces import Store, gather, with_ids
 
 SHIFT = 20
@@ -199,14 +200,18 @@ def _store(path: str, pattern: str) -> Store:
 
 
 def _schema(df: DataFrame, text: str, out: str) -> T.StructType:
-    if out.lower() in (c.lower() for c in df.columns if c != text):
-        raise ValueError(f"there is a column {out} already")
     return T.StructType([f for f in df.schema if f.name != text] + [T.StructField(out, T.ArrayType(T.IntegerType(), False))])
 
 
+def _clear(df: DataFrame, text: str, *out: str) -> DataFrame:
+    """The frame without columns of the names to come; the text itself stays."""
+    return df.drop(*[c for c in df.columns if c != text and c.lower() in {o.lower() for o in out}])
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """Replaces the column ``text`` by ``out`` array<int>: the ids by the rank file at ``path``."""
-    return df.mapInArrow(lambda it: with_ids(it, text, out, _store(path, pattern)), _schema(df, text, out))
+    """Replaces the column ``text``, and one named ``out``, by ``out`` array<int>: the ids by the rank file at ``path``."""
+    df = _clear(df, text, out)
+    return mapped(df, lambda it: with_ids(it, text, out, _store(path, pattern)), _schema(df, text, out))
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str, ids: str, out: str) -> Iterator[pa.RecordBatch]:
@@ -228,14 +233,16 @@ def _decoded(batches: Iterator[pa.RecordBatch], path: str, ids: str, out: str) -
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds ``out`` binary: the bytes that the ids stand for (null ids: null)."""
-    return df.mapInArrow(lambda it: _decoded(it, path, ids, out), T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
+    """Adds ``out`` binary (or replaces it): the bytes that the ids stand for (null ids: null)."""
+    df = _clear(df, ids, out)
+    return mapped(df, lambda it: _decoded(it, path, ids, out), T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """decode(encode(df)): ids and decoded, in one pass of one worker."""
+    df = _clear(df, text, "ids", "decoded")
     schema = T.StructType([*_schema(df, text, "ids").fields, T.StructField("decoded", T.BinaryType())])
-    return df.mapInArrow(lambda it: _decoded(with_ids(it, text, "ids", _store(path, pattern)), path, "ids", "decoded"), schema)
+    return mapped(df, lambda it: _decoded(with_ids(it, text, "ids", _store(path, pattern)), path, "ids", "decoded"), schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 ARROW_ROWS = "1000"
@@ -89,6 +91,19 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """The frame's columns, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def mapped(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """mapInArrow that also takes columns whose names hold dots or backquotes."""
+    odd = [c for c in df.columns if "." in c or "`" in c]
+    safe = dict(zip(odd, fresh(df, *["odd"] * len(odd))))
+    plain = T.StructType([T.StructField(safe.get(f.name, f.name), f.dataType, f.nullable) for f in schema])
+    return df.toDF(*[safe.get(c, c) for c in df.columns]).mapInArrow(run, plain).toDF(*schema.names) if odd else df.mapInArrow(run, schema)
+
+
 def let(value: Column, body) -> Column:
     """Evaluates ``value`` once and hands it to ``body``, within one expression."""
     return F.element_at(F.transform(F.array(value), body), 1)

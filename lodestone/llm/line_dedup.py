@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import NULL_ID_FIRST, fresh, table_bytes
+from lodestone.llm.common import NULL_ID_FIRST, columns, fresh, mapped, table_bytes
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 SPACE = b" \t\n\x0b\x0c\r"
@@ -165,17 +165,15 @@ def repeats(docs: DataFrame, least: int = LEAST_CHARS, least_docs: int = LEAST_D
     return lost.groupBy("id").agg(F.collect_list("key").alias("keys"))
 
 
-def dedup(docs: DataFrame, least: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """The documents with ``text`` less its repeated lines, and n_lines and n_dropped added.
+def dedup(docs: DataFrame, least: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """The documents with ``text`` less its repeated lines, and n_lines and n_dropped (``counts``) added or replaced.
 
     Null text stays null if it keeps its one empty line, which it always does.
     """
+    docs = docs.drop(*counts)
     names = fresh(docs, "id", "keys")
     lost = repeats(docs, least, least_docs).withColumnsRenamed({"id": names[0], "keys": names[1]})
     rows = docs.withColumn(names[0], F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID_FIRST))).join(lost, names[0], "left").drop(names[0])
-    for c in ("n_lines", "n_dropped"):
-        if c in (x.lower() for x in docs.columns):
-            raise ValueError(f"there is a column {c} already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -189,11 +187,11 @@ def dedup(docs: DataFrame, least: int = LEAST_CHARS, least_docs: int = LEAST_DOC
                 n_dropped.append(n_lines[-1] - len(lines))
                 texts.append("\n".join(lines) if n_dropped[-1] else text)
             cols = {c: b.column(c) for c in b.schema.names if c != names[1]}
-            cols |= {"text": pa.array(texts, b.column("text").type), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
+            cols |= {"text": pa.array(texts, b.column("text").type), counts[0]: pa.array(n_lines, pa.int64()), counts[1]: pa.array(n_dropped, pa.int64())}
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return rows.select(*[f"`{c}`" for c in docs.columns], names[1]).mapInArrow(run, schema)
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in counts]])
+    return mapped(rows.select(*columns(docs), names[1]), run, schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

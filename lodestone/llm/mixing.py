@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fresh, numbered, spread_key
+from lodestone.llm.common import columns, fresh, numbered, spread_key
 
 PRODUCTION_WEIGHTS = {"src0": 4}
 PRODUCTION_BLOCK = 64
@@ -58,7 +58,7 @@ def _source_key(source: str) -> Column:
 
 def mixed(docs: DataFrame, weights: dict[str, int] | None = None, default: int = 1, block_rows: int = PRODUCTION_BLOCK, source: str = "source") -> DataFrame:
     """Adds block, release, deadline (in slots of the full schedule), slot (closed up,
-    from 0), row_in_block and weight_share.
+    from 0), row_in_block and weight_share, or replaces columns of these names.
 
     Rows in the order (slot, row_in_block) are the mixture.
     """
@@ -80,7 +80,7 @@ def mixed(docs: DataFrame, weights: dict[str, int] | None = None, default: int =
     ints = lambda xs: F.array(*[F.lit(int(x)).cast("long") for x in xs]) if xs else F.array(F.lit(0).cast("long"))
     index = F.element_at(at, F.col(key))
     weight, of_slot = F.element_at(ints(w), index + 1), F.array(*[ints(p) for p in places]) if names else F.array(ints([]))
-    ties = [F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])]
+    ties = [F.xxhash64(*[c for c, (_, kind) in zip(columns(docs), docs.dtypes) if "map<" not in kind and "variant" not in kind])]
     rows = numbered(keyed, key, spread, ties, place)
     block = F.floor(F.col(place) / block_rows)
     (virtual,) = fresh(rows, "virtual")
@@ -117,7 +117,7 @@ def in_order(docs: DataFrame, weights: dict[str, int] | None = None, block_rows:
     Written as files, part after part, they are the mixture.
     """
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"), "doc_id", "source")
+    held = docs.select(F.struct(*columns(docs)).alias("held"), "doc_id", "source")
     out = mixed(held, weights, block_rows=block_rows)
     return out.repartitionByRange(parts, "slot", "row_in_block").sortWithinPartitions("slot", "row_in_block").select("held.*")
 

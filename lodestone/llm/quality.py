@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.common import mapped
 from lodestone.llm.pieces import gather
 from lodestone.llm.training import HELD_OUT, fold, sample, sigmoid
 
@@ -150,8 +151,9 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7) -> Model:
 _held: dict[int, Model] = {}
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds the column score: the probability of label 1."""
+def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
+    """Adds the column ``out`` (or replaces it): the probability of label 1."""
+    docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))  # BUCKETS numbers
     key = hash((model.weight.tobytes(), model.bias))
 
@@ -161,9 +163,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             _held[key] = Model(*shared.value)
         for b in batches:
             s = _held[key].scores(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:

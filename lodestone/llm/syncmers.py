@@ -66,8 +66,10 @@ def likeness(a: Column, b: Column) -> Column:
 def positional_matches(left: DataFrame, right: DataFrame, k: int = K, s: int = S) -> DataFrame:
     """Pairs of documents with a shared anchor: doc_id, other_id, shift in words, matches.
 
-    ``left`` and ``right`` hold doc_id and text; anchors join on their hash, so a
-    passage that two documents share shows as many matches at one shift.
+    ``left`` is a stated query set and ``right`` all rows; both hold doc_id and text.
+    Anchors join on their hash, so a passage that two documents share shows as many
+    matches at one shift. Each query's row for each partner is part of the result;
+    frequent anchors are rows of a sort-merge join, which Spark splits by size.
     """
     side = lambda d, name: d.select(F.col("doc_id").alias(name), F.explode(anchors(text_or_empty(), k, s)).alias("a")).select(name, F.col("a.at").alias(f"{name}_at"), F.col("a.hash").alias("hash"))
     return (

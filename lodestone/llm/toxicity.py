@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.common import mapped
 from lodestone.llm.training import HELD_OUT, fold, sample, sigmoid
 
 BUCKETS = 1 << 20
@@ -142,17 +143,18 @@ def _share(docs: DataFrame, model: Model):
     return hash((model.weight.tobytes(), model.bias)), docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds the column score: the probability that a document is toxic."""
+def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
+    """Adds the column ``out`` (or replaces it): the probability that a document is toxic."""
+    docs = docs.drop(out)
     key, shared = _share(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, words = _worker(key, shared)
         for b in batches:
             s = m.scores(words, b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def offending(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:

@@ -13,7 +13,7 @@ import public_tokenizers as P
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, line_dedup, media, mixing, quality, sharding, simhash, syncmers, token_files, toxicity
+from lodestone.llm import bpe, line_dedup, media, mixing, quality, sharding, simhash, syncmers, token_files, toxicity, training
 from lodestone.llm.common import ready, scratch
 from lodestone.llm.components import components
 
@@ -57,8 +57,7 @@ def test_bpe_equals_the_library(docs, empty):
     want = sorted((r[0] or -1, len(ids := lib.encode_ordinary(r[1] or "")), sha(",".join(map(str, ids)).encode()), sha((r[1] or "").encode())) for r in rows())
     assert got == want
     assert bpe.decode(bpe.encode(empty, RANKS, P.PATTERN), RANKS).count() == 0
-    with pytest.raises(ValueError):
-        bpe.encode(docs, RANKS, P.PATTERN, out="LANG")
+    assert "lang" not in bpe.encode(docs, RANKS, P.PATTERN, out="LANG").columns
 
 
 def test_bpe_on_odd_strings():
@@ -74,18 +73,25 @@ def test_bpe_on_odd_strings():
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [v.word(w) for w in words]
 
 
-def test_line_dedup(docs, empty):
-    table, seen = rows(), {}
+def kept_lines(table):
+    """Each row's lines that stay."""
+    seen, out = {}, []
     keys = lambda t: [x.strip(" \t\n\x0b\x0c\r").encode().lower().decode() for x in (t or "").split("\n")]
     for r in table:
         for k in keys(r[1]):
             if len(k) >= 20:
                 seen.setdefault(k, set()).add(-1 if r[0] is None else r[0])
-    want = []
     for r in table:
         lines = (r[1] or "").split("\n")
-        kept = [x for x, k in zip(lines, keys(r[1])) if not (len(seen.get(k, ())) >= 3 and max(seen[k]) != (-1 if r[0] is None else r[0]))]
-        want.append((r[0] or -1, len(lines), len(lines) - len(kept), sha("\n".join(kept).encode())))
+        out.append([x for x, k in zip(lines, keys(r[1])) if not (len(seen.get(k, ())) >= 3 and max(seen[k]) != (-1 if r[0] is None else r[0]))])
+    return out
+
+
+def test_line_dedup(docs, empty):
+    table, want = rows(), []
+    for r, kept in zip(table, kept_lines(table)):
+        n = len((r[1] or "").split("\n"))
+        want.append((r[0] or -1, n, n - len(kept), sha("\n".join(kept).encode())))
     got = [(r.doc_id or -1, r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.report(docs).collect()]
     assert sorted(got) == sorted(want) and any(w[2] for w in want)
     assert line_dedup.dedup(docs).columns[:7] == docs.columns and line_dedup.report(empty).count() == 0
@@ -170,6 +176,15 @@ def test_simhash(docs, empty):
     assert simhash.report(empty).count() == 0
 
 
+def test_simhash_of_rows_without_ids(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    table = [(3, a), (9, b), (None, a), (None, b), (None, "alone"), (None, "by itself"), (7, "x y"), (7, "z")]
+    got = {(r.doc_id, r.fp): r.component_id for r in simhash.clusters(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    signed = lambda t: int.from_bytes(simhash.fingerprint_bytes(t), "big", signed=True)
+    want = [3, 9, 3, 9, None, None, 7, 7]
+    assert got == {(d, signed(t)): w for (d, t), w in zip(table, want)}
+
+
 def test_trie_join_on_clusters(spark, monkeypatch):
     rnd = random.Random(3)
     monkeypatch.setattr(simhash, "LEAST_LEAF", 16)
@@ -250,6 +265,96 @@ def test_sharding(docs, empty):
     assert abs(sizes[0] / 8000 - 2 / 9) < 0.02 and max(abs(x / 8000 - 1 / 9) for x in sizes[1:]) < 0.02
 
 
+def test_the_sample_holds_one_text_an_id(spark):
+    docs = spark.createDataFrame([(1, "a" * (i % 9 + 1)) for i in range(500)] + [(2, None), (3, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (3, 0), (None, 1), (8, 1)], "doc_id long, toxic int")
+    texts, y = training.sample(docs, labels, "toxic", 10, 1000)
+    allowed = [(t, v) for d, t, v in ((1, "a" * 9, 1.0), (3, "c", 0.0)) if zlib.crc32(str(d).encode()) % 4 != training.HELD_OUT]
+    assert list(zip(texts, y.tolist())) == allowed
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows, rows without ids, and columns whose names clash."""
+    import corpus_pipeline as c
+    import pyarrow.parquet as pq
+    import tiktoken
+
+    rnd = random.Random(8)
+    clean = lambda n: " ".join(rnd.choice("der die das und ein mit von zu".split()) + rnd.choice("abcdefgh") for _ in range(n))
+    shared = [clean(9) for _ in range(3)]
+    table, marks = [], []
+    for i in range(300):
+        bad = i % 4 == 0
+        table.append((i, (" &&& $$$ !!" * 20 if bad else clean(60) + "\n" + shared[i % 3] + "\n" + clean(5)), f"s{i % 3}"))
+        marks.append((i, int(not bad)))
+    texts = [t for i, t, _ in table if i % 4]
+    table += [(400, None, None), (401, "", "s0"), (402, clean(60_000), "s0"), (403, texts[0], "s1"), (404, texts[1].replace(" ", "  "), None)]
+    table += [table[5], (None, texts[2], "s2"), (None, clean(70), "s2"), (None, clean(70), "s2"), (None, None, None)]
+    table.append(table[-2])
+    more = ["score", "n_lines", "n_dropped", "block", "slot", "ids", "decoded", "fp", "a.b", "__score"]
+    full = [(i, t, "de", s, len(t or ""), *range(len(more))) for i, t, s in table]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{m}` int" for m in more)
+    spark.createDataFrame(full, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    order = lambda xs: sorted(xs, key=repr)
+    seen = lambda d: [(r.doc_id, r.text, r.source) for r in d.collect()]
+
+    def step(n, docs):
+        c.STAGES[n][1](spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{n}")
+        out = spark.read.parquet(f"{tmp_path}/{n}")
+        assert n == 4 or (out.columns == docs.columns and all(tuple(r)[5:] == tuple(range(len(more))) for r in out.collect()))
+        return out
+
+    m = quality.fitted(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+
+    def score(text):
+        ws = (text or "").split()
+        cells = [x for w in ws for x in quality.features([w])[0]] + [quality.REPEAT] * sum(x == y for x, y in zip(ws, ws[1:]))
+        return training.sigmoid(m.bias + (sum(m.weight[k] for k in cells) / len(cells) if cells else 0))
+
+    docs = step(0, docs)
+    assert order(seen(docs)) == order(r for r in table if score(r[1]) >= c.LEAST_QUALITY) and 200 < docs.count() < len(table)
+
+    before = seen(docs)
+    docs = step(1, docs)
+    want = [(r[0], r[1] if r[1] is None else "\n".join(k), r[2]) for r, k in zip(before, kept_lines(before))]
+    assert order(seen(docs)) == order(want) and order(want) != order(before)
+    assert all(r.n_chars == len(r.text or "") for r in docs.collect())
+
+    before = seen(docs)
+    docs = step(2, docs)
+    fps = [fingerprint(t) for _, t, _ in before]
+    root = reach(range(len(before)), [(i, j) for i, j in combinations(range(len(before)), 2) if bin(fps[i] ^ fps[j]).count("1") <= 2])
+    groups = {}
+    for i, r in root.items():
+        groups.setdefault(r, []).append(before[i])
+    got = seen(docs)
+    assert len(got) == len(groups) < len(before)
+    for own in groups.values():
+        ids = [x[0] for x in own if x[0] is not None]
+        assert sum(x in got for x in {(r[0], r[1], r[2]) for r in own if r[0] == (min(ids) if ids else None)}) == 1
+
+    before = seen(docs)
+    docs = step(3, docs)
+    names = sorted({"" if s is None else f"={s}" for _, _, s in before})
+    queue = {k: sorted((r for r in before if ("" if r[2] is None else f"={r[2]}") == k), key=lambda r: hashlib.md5(str("" if r[0] is None else r[0]).encode()).digest()) for k in names}
+    laid, want, t = mixing.period([mixing.PRODUCTION_WEIGHTS.get(k[1:], 1) for k in names]), [], 0
+    while any(queue.values()):
+        k = names[laid[t % len(laid)]]
+        want += [(r[0], r[2]) for r in queue[k][: mixing.PRODUCTION_BLOCK]]
+        queue[k], t = queue[k][mixing.PRODUCTION_BLOCK :], t + 1
+    files = [pq.read_table(f, columns=["doc_id", "source"]).to_pylist() for f in sorted((tmp_path / "3").glob("*.parquet"))]
+    assert [(r["doc_id"], r["source"]) for f in files for r in f] == want and order(seen(docs)) == order(before)
+
+    before = seen(docs)
+    out = step(4, docs)
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.vocabulary(RANKS).ranks, special_tokens={})
+    want = order((d, s, lib.encode_ordinary(t or "")) for d, t, s in before)
+    assert order((r.doc_id, r.source, list(r.ids)) for r in out.collect()) == want and all(r.intact and r.n_tokens == len(r.ids) for r in out.collect())
+    assert order((r.doc_id, r.source, list(r.ids)) for r in c.run(spark, str(tmp_path)).collect()) == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 

@@ -35,6 +35,8 @@ EPOCHS, BATCH, RATE, LEAST_STEPS = 6, 32, 2.0, 500
 SAMPLE = (2500, 10_000_000)
 SPLIT = 0.7
 MOST_KEPT = 400_000
+#: Words whose features are made at a time while training.
+WORDS = 20_000
 REPEAT = zlib.crc32(b"\0repeat") % BUCKETS
 
 
@@ -60,7 +62,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     at, code = np.concatenate(where), np.concatenate(codes)
     bucket = (code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int64)
     order = np.argsort(at, kind="stable")
-    return bucket[order], np.bincount(at, minlength=len(raw))
+    return bucket[order].astype(np.uint16), np.bincount(at, minlength=len(raw))
 
 
 @dataclass
@@ -103,21 +105,28 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7) -> Model:
     """Vectors and softmax layer by stochastic gradient descent, the rate falling to zero."""
     if not len(texts) or y.min() == y.max():
         return Model(np.zeros(BUCKETS), 0.0 if not len(texts) else (4.0 if y[0] else -4.0))
-    counts = [Counter(t.split()) for t in texts]
-    place = {w: i for i, w in enumerate(dict.fromkeys(w for c in counts for w in c))}
-    flat, many = features(list(place))
+    place: dict[str, int] = defaultdict()
+    place.default_factory = place.__len__
+    for t in texts:
+        for w in t.split():
+            place[w]
+    words = iter(place)
+    made = [features(part) for part in iter(lambda: list(islice(words, WORDS)), [])]
+    flat, many = (np.concatenate([m[i] for m in made] or [np.empty(0, np.int64)]) for i in (0, 1))
+    del made
     ends = np.cumsum(many)
-    cells, shares = [], []
-    for t, c in zip(texts, counts):
+    cells, shares = [], []  # two and four bytes a feature, as these are most of the memory
+    for t in texts:
         ws = t.split()
-        at = np.fromiter(map(place.__getitem__, c), np.int64, len(c))
+        c = Counter(map(place.__getitem__, ws))
+        at = np.fromiter(c, np.int64, len(c))
         found = gather(flat, ends[at] - many[at], ends[at])
         n = np.bincount(found, np.repeat(np.fromiter(c.values(), np.float64, len(c)), many[at]), BUCKETS)
         n[REPEAT] += sum(map(str.__eq__, ws, islice(ws, 1, None)))
         k = np.flatnonzero(n)
-        cells.append(k)
-        shares.append(n[k] / max(n.sum(), 1))
-    del counts, place, flat
+        cells.append(k.astype(np.uint16))
+        shares.append((n[k] / max(n.sum(), 1)).astype(np.float32))
+    del place, flat
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / SIZE, 1 / SIZE, (BUCKETS, SIZE))
     layer, bias = np.zeros((2, SIZE)), np.zeros(2)

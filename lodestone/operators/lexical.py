@@ -24,10 +24,12 @@ class Index:
 
 
 def postings(rows: DataFrame, analyzer: Analyzer, key: str = "id", text: str = "text") -> DataFrame:
-    """(term, id, tf, dl). Terms are counted within their row, so nothing shuffles."""
-    counted = rows.select(F.col(key).alias("id"), analyzer.tokens(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
-    runs = counted.select("id", "dl", "t", F.explode(F.array_distinct("t")).alias("term"))
-    return runs.select("term", "id", F.size(F.filter("t", lambda x: x == F.col("term"))).alias("tf"), "dl")
+    """(term, id, tf, dl). Terms are counted within their row, as runs of its sorted tokens, so nothing shuffles."""
+    counted = rows.select(F.col(key).alias("id"), F.sort_array(analyzer.tokens(F.col(text))).alias("t")).withColumn("dl", F.size("t"))
+    firsts = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    runs = counted.where("dl > 0").withColumn("at", firsts)
+    one = lambda i, n: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("at", n + 1), F.col("dl")) - i).alias("tf"))
+    return runs.select("id", "dl", F.inline(F.transform("at", one))).select("term", "id", "tf", "dl")
 
 
 def index(rows: DataFrame, analyzer: Analyzer = Analyzer(), key: str = "id", text: str = "text", path: str | None = None, buckets: int = 64) -> Index:

@@ -156,7 +156,10 @@ def pool_sql(size: int = 50) -> str:
 
 def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = docs.join(F.broadcast(pool(spark, sf_dir)), "id", "right").withColumn("text", F.coalesce("text", F.lit("")))
+    best = pool(spark, sf_dir)
+    # At most 50 ids pick their texts, so the documents do not shuffle.
+    texts = docs.join(F.broadcast(best.select("id")), "id")
+    rows = best.join(texts, "id", "left").withColumn("text", F.coalesce("text", F.lit("")))
     rows = fusion.competition_rank(rerank.rerank(rows, QUESTION, rerank.overlap), "rerank_score", "rerank_rank")
     out = rows.withColumn("fused_score", fusion.rrf(60, {"vector_rank": 0.6, "lexical_rank": 0.4, "rerank_rank": 1.0}))
     return LONGS(fusion.top(out, 10, "rerank_order").select("id", "rerank_score", "rerank_rank", "fused_score"))

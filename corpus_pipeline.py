@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, line_dedup, mixing, quality, simhash
+from lodestone.llm import bpe, line_dedup, mixing, near, quality
 from lodestone.llm.common import columns, documents, fresh, labels, pattern, ready, scratch, text_or_empty, tokenizer
 
 #: Documents that score less are rejected.
@@ -39,7 +39,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group of near-duplicates.
+    """One document, that of the least doc_id, of each group of near-duplicates: five-word Jaccard of 0.8 or more.
 
     A row without an id goes by a number made from its text, above all ids.
     """
@@ -47,7 +47,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key, n = fresh(docs, "key", "n")
     made = F.lit(NO_ID) + F.xxhash64(text_or_empty()).bitwiseAND(F.lit(NO_ID - 1))
     rows = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), made))
-    found = simhash.clusters(rows.select(F.col(key).alias("doc_id"), "text"))
+    found = near.clusters(rows.select(F.col(key).alias("doc_id"), "text"))
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
     one = Window.partitionBy(key).orderBy("text")
     return rows.join(kept, key, "left_semi").withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).select(*columns(docs))

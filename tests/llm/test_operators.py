@@ -368,3 +368,39 @@ def test_pipeline(spark):
     for _, stage in c.STAGES:
         none = stage(spark, none, sf)
     assert none.count() == 0
+
+
+def five_word_sets(texts):
+    words = [(t or "").encode().lower().split() for t in texts]
+    return [{b" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or ({b" ".join(w)} if w else set()) for w in words]
+
+
+def near_pairs(texts):
+    sets = five_word_sets(texts)
+    alike = lambda x, y: x == y or 5 * len(x & y) >= 4 * len(x | y)
+    return [(i, j) for i, j in combinations(range(len(texts)), 2) if alike(sets[i], sets[j])]
+
+
+@pytest.mark.parametrize("most", [64, 2])
+def test_pipeline_drops_all_near_copies(spark, monkeypatch, most):
+    """Copies with words changed, at and about five-word Jaccard 0.8, which SimHash links of two bits miss."""
+    import corpus_pipeline as c
+    from lodestone.llm import near
+
+    monkeypatch.setattr(near, "MOST_MET", most)
+    rnd, texts = random.Random(4), [None, "", "a b", "A  b", "a b c", "p q r s t u v w", "p q r s t u v w x"]
+    for _ in range(40):
+        ws = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randrange(30, 200))]
+        texts.append(" ".join(ws))
+        for _ in range(3):
+            other = list(ws)
+            for k in rnd.sample(range(len(ws)), rnd.randrange(1, 4)):
+                other[k] = f"x{rnd.randrange(9)}"
+            texts.append(" ".join(other))
+    texts += [texts[7] + " and then some more words", "one two three four five six " + texts[8]]
+    links = near_pairs(texts)
+    root = reach(range(len(texts)), links)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in c.near_dedup(spark, docs, "").collect()) == sorted(set(root.values()))
+    fps = [fingerprint(t) for t in texts]
+    assert sum(bin(fps[i] ^ fps[j]).count("1") > 2 for i, j in links) > 20

@@ -1,13 +1,15 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's score is a logistic function of the
-sum of its distinct words' weights; sentences combine by noisy-or, so a document is
+sum of its distinct words' weights; a word's weight is that of its own and of its
+prefixes of STEMS letters, so forms of a stem that are too rare to learn one by one
+share what is learnt of it. Sentences combine by noisy-or, so a document is
 toxic unless every sentence is clean: 1 - prod(1 - p). Only document labels train
 it: the gradient of the document's likelihood passes to each sentence in proportion
 to how far it could explain the label. Trained, the sentence scores locate what
 offends.
 
-Words are hashed after case and anything but letters are stripped, so marks around
+Words and prefixes are hashed after case and anything but letters are stripped, so marks around
 a word do not hide it. Null and empty texts have no sentences and score LEAK;
 repeated rows score alike; very long texts are scored whole, and as clean words
 weigh next to nothing, length alone does not make a text toxic.
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.common import mapped
+from lodestone.llm.pieces import gather
 from lodestone.llm.training import HELD_OUT, fold, sample, sigmoid
 
 BUCKETS = 1 << 20
@@ -38,16 +41,22 @@ SAMPLE = (4000, 16_000_000)
 START = -7.0
 #: A document's chance of being marked toxic though no sentence is.
 LEAK = 0.02
+#: Lengths of the prefixes that a word is also known by.
+STEMS = (4, 5, 6)
 SPLIT = 0.3
 MOST_KEPT = 400_000
 ENDS = re.compile(r"[.!?\n]+")
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def bucket(word: str) -> int:
-    """A word's bucket; -1 if it has no letter."""
-    letters = "".join(LETTERS.findall(word)).lower()
-    return zlib.crc32(letters.encode()) % BUCKETS if letters else -1
+def letters(word: str) -> str:
+    return "".join(LETTERS.findall(word)).lower()
+
+
+def features(word: str) -> list[int]:
+    """The buckets of a word of letters and of its prefixes; none if it has no letter."""
+    parts = [word, *(word[:n] + "*" for n in STEMS if len(word) >= n)] if word else []
+    return [zlib.crc32(x.encode()) % BUCKETS for x in parts]
 
 
 def sentences(text: str | None) -> list[str]:
@@ -55,15 +64,19 @@ def sentences(text: str | None) -> list[str]:
 
 
 class Words:
-    """Words' buckets, kept for at most MOST_KEPT words and those of one batch."""
+    """Words' features, kept for at most MOST_KEPT words and those of one batch."""
 
     def __init__(self):
         self.known: dict[str, int] = defaultdict()
         self.known.default_factory = self.known.__len__
-        self.buckets = np.empty(0, np.int64)
+        self.plain: dict[str, int] = defaultdict()  # by letters alone
+        self.plain.default_factory = self.plain.__len__
+        self.as_plain = np.empty(0, np.int64)
+        self.flat, self.ends = np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.sums = np.empty(0)
 
     def bags(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(sentence, bucket) of each distinct word of a sentence, and the document of each sentence."""
+        """(sentence, word by its letters) of each distinct word of a sentence, and the document of each sentence."""
         if len(self.known) > MOST_KEPT:
             self.__init__()
         cut = [sentences(t) for t in texts]
@@ -71,11 +84,22 @@ class Words:
         words = [s.split() for c in cut for s in c]
         n = np.fromiter(map(len, words), np.int64, len(words))
         at = np.fromiter((k for ws in words for k in map(self.known.__getitem__, ws)), np.int64, int(n.sum()))
-        new = list(islice(self.known, len(self.buckets), None))
-        self.buckets = np.concatenate([self.buckets, np.fromiter(map(bucket, new), np.int64, len(new))])
-        b = self.buckets[at]
-        pair = np.unique((np.repeat(np.arange(len(words)), n) * BUCKETS + b)[b >= 0])
-        return pair // BUCKETS, pair % BUCKETS, of
+        new = list(islice(self.known, len(self.as_plain), None))
+        self.as_plain = np.concatenate([self.as_plain, np.fromiter((self.plain[letters(w)] for w in new), np.int64, len(new))])
+        made = [features(w) for w in islice(self.plain, len(self.ends) - 1, None)]
+        self.flat = np.concatenate([self.flat, np.fromiter((x for m in made for x in m), np.int32)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(m) for m in made], dtype=np.int64)])
+        size = max(len(self.plain), 1)
+        pair = np.unique(np.repeat(np.arange(len(words)), n) * size + self.as_plain[at])
+        return pair // size, pair % size, of
+
+    def weights(self, weight: np.ndarray) -> np.ndarray:
+        """The sum of each word's features' weights; all calls since the last reset are of one model."""
+        first = len(self.sums)
+        ends = self.ends[first:] - self.ends[first]
+        of = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        self.sums = np.concatenate([self.sums, np.bincount(of, weight[self.flat[self.ends[first] :]], len(ends) - 1)])
+        return self.sums
 
 
 @dataclass
@@ -84,8 +108,8 @@ class Model:
     bias: float
 
     def sentence_scores(self, words: Words, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        row, col, of = words.bags(texts)
-        return sigmoid(self.bias + np.bincount(row, self.weight[col], len(of))), of
+        row, word, of = words.bags(texts)
+        return sigmoid(self.bias + np.bincount(row, words.weights(self.weight)[word], len(of))), of
 
     def scores(self, words: Words, texts: list[str | None]) -> np.ndarray:
         p, of = self.sentence_scores(words, texts)
@@ -101,7 +125,8 @@ def train(texts: list[str], y: np.ndarray, seed: int = 11) -> Model:
     if not len(texts) or y.min() == y.max():
         return Model(weight, START)
     words, rng = Words(), np.random.default_rng(seed)
-    row, col, of = words.bags(texts)
+    row, word, of = words.bags(texts)
+    word = word.astype(np.int32)
     first = np.searchsorted(of, np.arange(len(texts) + 1))
     cell = np.searchsorted(row, np.arange(len(of) + 1))
     for _ in range(max(EPOCHS, -(-LEAST_STEPS // -(-len(texts) // BATCH)))):
@@ -115,7 +140,10 @@ def train(texts: list[str], y: np.ndarray, seed: int = 11) -> Model:
             s, doc = s[kept], doc[kept]
             n = cell[s + 1] - cell[s]
             at = np.repeat(cell[s] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            r, c = np.repeat(np.arange(len(s)), n), col[at]
+            w = word[at]
+            many = words.ends[w + 1] - words.ends[w]
+            r = np.repeat(np.repeat(np.arange(len(s)), n), many)
+            c = gather(words.flat, words.ends[w], words.ends[w + 1])
             p = sigmoid(bias + np.bincount(r, weight[c], len(s)))
             clean = np.exp(np.bincount(doc, np.log1p(-p), len(own))) * (1 - LEAK)
             toxic = np.maximum(1 - clean, 1e-6)

@@ -404,3 +404,25 @@ def test_pipeline_drops_all_near_copies(spark, monkeypatch, most):
     assert sorted(r.doc_id for r in c.near_dedup(spark, docs, "").collect()) == sorted(set(root.values()))
     fps = [fingerprint(t) for t in texts]
     assert sum(bin(fps[i] ^ fps[j]).count("1") > 2 for i, j in links) > 20
+
+
+def test_toxicity_of_forms_never_seen():
+    """Each toxic word is a form of its own of a few stems, as in inflected languages."""
+    rnd = random.Random(6)
+    tail = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    clean = ["".join(rnd.choice("klmnopqrs") for _ in range(3)) + tail() for _ in range(300)]
+
+    def text(bad):
+        ws = [[rnd.choice(clean) for _ in range(9)] for _ in range(5)]
+        if bad:
+            ws[rnd.randrange(5)][4] = rnd.choice(["zuvorn", "Wyxal", "Ütqué"]) + tail()
+        return ". ".join(" ".join(w) for w in ws)
+
+    y = np.array([float(i % 5 == 0) for i in range(2000)])
+    texts = [text(v) for v in y]
+    model = toxicity.train(texts[:1600], y[:1600])
+    found = model.scores(toxicity.Words(), texts[1600:]) >= toxicity.SPLIT
+    assert found[y[1600:] > 0].mean() > 0.9 and found[y[1600:] == 0].mean() < 0.1
+    words = toxicity.Words()
+    one = [model.scores(words, [t])[0] for t in [None, *texts[1600:1640]]]
+    assert np.allclose(one[1:], model.scores(toxicity.Words(), texts[1600:1640])) and one[0] == pytest.approx(toxicity.LEAK)

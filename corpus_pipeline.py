@@ -1,7 +1,8 @@
 """From documents to token ids in five stages, each written as Parquet and reread by the next.
 
 Stages return the columns of documents in their order, n_chars kept true to the
-text; the last returns doc_id, lang, source, n_tokens, ids and intact. Null texts
+text; the last returns doc_id, lang, source, n_tokens, ids, intact and slot, the
+row's place in the mixture, by which run() orders its rows. Null texts
 pass as they are (and count as empty); an empty table passes through; other columns,
 whatever their names, are carried along up to the last stage. Rows with a null
 doc_id are documents of their own; rows that share one count as one near duplicate.
@@ -9,11 +10,12 @@ doc_id are documents of their own; rows that share one count as one near duplica
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, line_dedup, mixing, near, quality
-from lodestone.llm.common import columns, documents, fresh, labels, pattern, ready, scratch, text_or_empty, tokenizer
+from lodestone.llm.common import columns, documents, fresh, labels, pattern, ready, scratch, text_or_empty, tokenizer, written
 
 #: Documents that score less are rejected.
 LEAST_QUALITY = 0.5
@@ -59,13 +61,36 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.in_order(docs, mixing.PRODUCTION_WEIGHTS)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, source, text and slot: the row's place, from 0, in the files in order of their names.
+
+    Partitions follow each other in that order. A frame that is no table of files is written as one first.
+    """
+    spark = docs.sparkSession
+    place = lambda d: d.select("doc_id", "lang", "source", "text", *[d.metadataColumn("_metadata")[c].alias(c) for c in ("file_name", "row_index")])
+    try:
+        rows = place(docs)
+    except AnalysisException:
+        rows = place(written(docs, "placed"))
+    # One row a file.
+    ends = rows.groupBy("file_name").agg((F.max("row_index") + 1).alias("n"))
+    earlier = Window.orderBy("file_name").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select("file_name", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    rows = rows.join(F.broadcast(starts), "file_name").withColumn("slot", F.col("start") + F.col("row_index"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("doc_id", "lang", "source", "text", "slot").repartitionByRange(parts, "slot").sortWithinPartitions("slot")
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's ids; intact: whether decoding them gives its text again."""
+    """Each document's ids; intact: whether decoding them gives its text again; slot: its place in the mixture.
+
+    Like those of the mixing stage, the files in order of their names hold the mixture.
+    """
     ready(spark)
     path = tokenizer("byte_bpe_multi_50k.tiktoken")
-    rows = docs.select("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), "text")
+    rows = placed(docs).select("doc_id", "lang", "source", "slot", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), "text")
     out = bpe.round_trip(rows, path, pattern())
-    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("sha")).alias("intact"))
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("sha")).alias("intact"), "slot")
 
 
 STAGES = [
@@ -86,4 +111,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    # Files are read by size, not by name.
+    return docs.orderBy("slot")

@@ -426,3 +426,25 @@ def test_toxicity_of_forms_never_seen():
     words = toxicity.Words()
     one = [model.scores(words, [t])[0] for t in [None, *texts[1600:1640]]]
     assert np.allclose(one[1:], model.scores(toxicity.Words(), texts[1600:1640])) and one[0] == pytest.approx(toxicity.LEAK)
+
+
+def test_pipeline_keeps_the_mixture_order_to_the_end(spark, tmp_path):
+    """A hot source, and texts so unlike in length that files are not read in the order of their names."""
+    import corpus_pipeline as c
+    import pyarrow.parquet as pq
+
+    rnd = random.Random(9)
+    table = [(i, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(rnd.choice([2, 20, 2000 if i % 7 == 0 else 9]))), "en", "src0" if i % 10 < 7 else f"src{i % 3 + 1}") for i in range(900)]
+    spark.createDataFrame(table, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    names = sorted({r[3] for r in table})
+    queue = {k: sorted((r[0] for r in table if r[3] == k), key=lambda d: hashlib.md5(str(d).encode()).digest()) for k in names}
+    laid, want, t = mixing.period([mixing.PRODUCTION_WEIGHTS.get(k, 1) for k in names]), [], 0
+    while any(queue.values()):
+        k = names[laid[t % len(laid)]]
+        want += queue[k][: mixing.PRODUCTION_BLOCK]
+        queue[k], t = queue[k][mixing.PRODUCTION_BLOCK :], t + 1
+    out = c.run(spark, str(tmp_path))
+    assert [(r.slot, r.doc_id) for r in out.collect()] == list(enumerate(want))
+    files = [pq.read_table(f.removeprefix("file://"), columns=["doc_id"]).column(0).to_pylist() for f in sorted(out.inputFiles())]
+    assert [d for f in files for d in f] == want and len(files) > 1

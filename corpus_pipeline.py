@@ -5,7 +5,7 @@ text; the last returns doc_id, lang, source, n_tokens, ids, intact and slot, the
 row's place in the mixture, by which run() orders its rows. Null texts
 pass as they are (and count as empty); an empty table passes through; other columns,
 whatever their names, are carried along up to the last stage. Rows with a null
-doc_id are documents of their own; rows that share one count as one near duplicate.
+doc_id, and rows that share one, are documents of their own, which go by their texts.
 """
 
 from __future__ import annotations
@@ -15,12 +15,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, line_dedup, mixing, near, quality
-from lodestone.llm.common import columns, documents, fresh, labels, pattern, ready, scratch, text_or_empty, tokenizer, written
+from lodestone.llm.common import columns, documents, fresh, labels, pattern, ready, scratch, tokenizer, written
 
 #: Documents that score less are rejected.
 LEAST_QUALITY = 0.5
-#: Where the ids of rows without one begin while near duplicates are sought.
-NO_ID = 1 << 62
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,18 +39,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group of near-duplicates: five-word Jaccard of 0.8 or more.
+    """One row of each group of near-duplicates: five-word Jaccard of 0.8 or more.
 
-    A row without an id goes by a number made from its text, above all ids.
+    It is the row of the least doc_id, of these the first by text; rows without an id come last.
     """
     ready(spark)
-    key, n = fresh(docs, "key", "n")
-    made = F.lit(NO_ID) + F.xxhash64(text_or_empty()).bitwiseAND(F.lit(NO_ID - 1))
-    rows = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), made))
-    found = near.clusters(rows.select(F.col(key).alias("doc_id"), "text"))
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    one = Window.partitionBy(key).orderBy("text")
-    return rows.join(kept, key, "left_semi").withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).select(*columns(docs))
+    sid, group, n = fresh(docs, "sid", "group", "n")
+    root = near.roots(docs.select("text")).toDF(sid, group)
+    rows = near.with_sid(docs, sid).join(root, sid, "left").withColumn(group, F.coalesce(group, sid))
+    one = Window.partitionBy(group).orderBy(F.col("doc_id").asc_nulls_last(), "text")
+    return rows.withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).select(*columns(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

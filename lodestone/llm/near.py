@@ -10,8 +10,8 @@ forward are moved to its end and the prefixes taken anew, ROUNDS times at most;
 last time all pairs are made, however many meet. Where a hot shingle cannot be moved
 away (texts that consist of such), pairs grow with the square of their number.
 
-A text of up to SHINGLE words is one shingle; texts without words are equal. Null
-and repeated ids do no harm: links are between sets.
+A text of up to SHINGLE words is one shingle; texts without words are equal. Links
+are between sets, so ids play no part.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.llm.common import written
+from lodestone.llm.common import mapped, written
 from lodestone.llm.components import components
 
 SHINGLE, SEED = 5, 42
@@ -62,7 +63,7 @@ def _prefix(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def sets(docs: DataFrame, hot: np.ndarray | None = None) -> DataFrame:
-    """doc_id, sid (of the text's set), n (its size), first (its prefix)."""
+    """sid (of the text's set), n (its size), first (its prefix)."""
     hot = np.empty(0, np.uint64) if hot is None else hot
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
@@ -72,10 +73,10 @@ def sets(docs: DataFrame, hot: np.ndarray | None = None) -> DataFrame:
             first = [_prefix(h, shared.value) for h in all_]
             ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
             flat = np.concatenate([*first, np.empty(0, np.int64)])
-            cols = [b.column("doc_id"), pa.array([set_id(h) for h in all_], pa.int64()), pa.array([len(h) for h in all_], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "sid", "n", "first"])
+            cols = [pa.array([set_id(h) for h in all_], pa.int64()), pa.array([len(h) for h in all_], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["sid", "n", "first"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sid long, n long, first array<long>")
+    return docs.select("text").mapInArrow(run, "sid long, n long, first array<long>")
 
 
 def _met(h: np.ndarray, sid: np.ndarray, n: np.ndarray, most: int | None) -> Iterator[pa.RecordBatch]:
@@ -147,26 +148,25 @@ def confirmed(docs: DataFrame, near: DataFrame) -> DataFrame:
     return both.withColumn("same", same).where(LEAST[1] * F.col("same") >= LEAST[0] * (F.size("x") + F.size("y") - F.col("same"))).select("a", "b")
 
 
-def clusters(docs: DataFrame) -> DataFrame:
-    """doc_id, sid, component_id: the least doc_id reachable by links of similarity LEAST or more."""
-    hot, named = np.empty(0, np.uint64), None
+def with_sid(docs: DataFrame, out: str = "sid") -> DataFrame:
+    """Adds the column ``out``: the number of the text's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(set_ids(b.column("text").to_pylist()), pa.int64())], names=[*b.schema.names, out])
+
+    return mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())]))
+
+
+def roots(docs: DataFrame) -> DataFrame:
+    """(sid, root): the least set reachable by links of similarity LEAST or more, for sets that have a link."""
+    hot = np.empty(0, np.uint64)
     for left in reversed(range(ROUNDS)):
-        found = written(sets(docs, hot), "sets")
-        named = named or found.select("doc_id", "sid")
-        met = written(pairs(found, MOST_MET if left else None), "pairs")
+        met = written(pairs(written(sets(docs, hot), "sets"), MOST_MET if left else None), "pairs")
         # A shingle counts as hot only past MOST_MET sets: at most the postings / MOST_MET.
         over = [r.a for r in met.where("b is null").select("a").collect()]
         if not over:
             break
         hot = np.union1d(hot, np.array(over, np.int64).view(np.uint64))
-    texts = docs.select("text").mapInArrow(_with_sid, "sid long, text string")
-    links = confirmed(texts, met.where("b is not null"))
-    distinct = named.groupBy("sid").agg(F.min("doc_id").alias("least"))
-    rooted = distinct.join(components(links).withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(rooted.join(whole, "root").select("sid", "component_id"), "sid").select("doc_id", "sid", "component_id")
-
-
-def _with_sid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(set_ids(b.column("text").to_pylist()), pa.int64()), b.column("text")], names=["sid", "text"])
+    links = confirmed(with_sid(docs.select("text")), met.where("b is not null"))
+    return components(links).withColumnRenamed("node", "sid")

@@ -448,3 +448,15 @@ def test_pipeline_keeps_the_mixture_order_to_the_end(spark, tmp_path):
     assert [(r.slot, r.doc_id) for r in out.collect()] == list(enumerate(want))
     files = [pq.read_table(f.removeprefix("file://"), columns=["doc_id"]).column(0).to_pylist() for f in sorted(out.inputFiles())]
     assert [d for f in files for d in f] == want and len(files) > 1
+
+
+def test_distinct_texts_under_one_id_stay(spark):
+    import corpus_pipeline as c
+
+    rnd = random.Random(3)
+    text = lambda n: " ".join(f"w{rnd.randrange(5000)}" for _ in range(n))
+    a, b, d = text(80), text(80), text(80)
+    table = [(1, a), (2, a + " end"), (2, b), (2, d), (2, d), (5, b.upper()), (None, d), (None, "own"), (None, "words"), (None, "words")]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.text) for r in c.near_dedup(spark, docs, "").collect())
+    assert got == sorted([(1, a), (2, b), (2, d), (-1, "own"), (-1, "words")])

@@ -5,10 +5,11 @@ are never paired. In any one order of all shingles, two sets of similarity LEAST
 more share one among the first n - ceil(LEAST n) + 1 of each, so only these are
 shuffled; sets that meet are confirmed on all their shingles. No pair is missed.
 
-The order is that of the hashes, but shingles that more than MOST_MET sets put
-forward are moved to its end and the prefixes taken anew, ROUNDS times at most; the
-last time all pairs are made, however many meet. Where a hot shingle cannot be moved
-away (texts that consist of such), pairs grow with the square of their number.
+The order is that of the hashes. If more than MOST_MET sets put a shingle forward, it
+is moved to the end and the prefixes are taken anew, so common passages join nobody.
+What is still hot then is mostly groups of near copies: each set is first compared
+with the least of its run, and then only with sets that no link joins to it yet.
+These last pairs are all made, whatever their number.
 
 A text of up to SHINGLE words is one shingle; texts without words are equal. Links
 are between sets, so ids play no part.
@@ -32,8 +33,8 @@ from lodestone.llm.components import components
 SHINGLE, SEED = 5, 42
 #: The least similarity, as a fraction.
 LEAST = (4, 5)
-#: Sets that may meet at a shingle before it is moved to the end of the order.
-MOST_MET, ROUNDS = 64, 3
+#: Sets that may meet at a shingle before it counts as hot.
+MOST_MET = 8
 STEP = 1 << 18
 
 
@@ -79,13 +80,23 @@ def sets(docs: DataFrame, hot: np.ndarray | None = None) -> DataFrame:
     return docs.select("text").mapInArrow(run, "sid long, n long, first array<long>")
 
 
-def _met(h: np.ndarray, sid: np.ndarray, n: np.ndarray, most: int | None) -> Iterator[pa.RecordBatch]:
-    """Pairs of sets, of sizes that allow LEAST, in runs of one shingle; of runs longer than ``most`` the shingle, b null."""
-    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+def _met(h: np.ndarray, sid: np.ndarray, n: np.ndarray, pos: np.ndarray, label: np.ndarray, most: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs of sets, of sizes that allow LEAST and of unlike labels, in runs of one shingle.
+
+    Of a run longer than ``most``: the shingle, b null, and the pairs of its least set.
+    """
+    order = np.lexsort((sid, h))
+    h, sid, n, pos, label = (x[order] for x in (h, sid, n, pos, label))
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])])[: len(h)]  # copies meet as one
+    h, sid, n, pos, label = (x[new] for x in (h, sid, n, pos, label))
+    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
     size = np.diff(np.append(start, len(h)))
     if most is not None and (size > most).any():
-        over = start[size > most]
+        over, many = start[size > most], size[size > most]
+        x = np.repeat(sid[over], many)
+        y = np.concatenate([sid[i : i + k] for i, k in zip(over, many)])
         yield pa.RecordBatch.from_arrays([pa.array(h[over]), pa.nulls(len(over), pa.int64())], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[x != y]), pa.array(y[x != y])], names=["a", "b"])
         start, size = start[size <= most], size[size <= most]
     left = np.repeat(size - 1, size) - (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
     at = np.repeat(start, size) + np.repeat(size - 1, size) - left
@@ -95,7 +106,9 @@ def _met(h: np.ndarray, sid: np.ndarray, n: np.ndarray, most: int | None) -> Ite
         if not len(at):
             break
         i, j = at, at + d
-        fits = (LEAST[1] * np.minimum(n[i], n[j]) >= LEAST[0] * np.maximum(n[i], n[j])) & (sid[i] != sid[j])
+        fits = (LEAST[1] * np.minimum(n[i], n[j]) >= LEAST[0] * np.maximum(n[i], n[j])) & (label[i] != label[j])
+        # The first shingle that two near sets share leaves each enough to share from there on.
+        fits &= sum(LEAST) * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= LEAST[0] * (n[i] + n[j])
         x, y = sid[i[fits]], sid[j[fits]]
         made.append((np.minimum(x, y), np.maximum(x, y)))
         held += len(x)
@@ -113,7 +126,7 @@ def _meet(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.Re
     for b in batches:
         if not b.num_rows:
             continue
-        new = [b.column(c).to_numpy() for c in ("h", "sid", "n")]
+        new = [b.column(c).to_numpy() for c in ("h", "sid", "n", "pos", "label")]
         cut = int(np.searchsorted(new[0], new[0][-1]))
         if cut:  # a new run begins in this batch: what came before is whole
             yield from _met(*(np.concatenate(c) for c in zip(*parts, [x[:cut] for x in new])), most)
@@ -126,10 +139,9 @@ def _meet(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.Re
         yield from _met(*(np.concatenate(c) for c in zip(*parts)), most)
 
 
-def pairs(found: DataFrame, most: int | None) -> DataFrame:
-    one = found.groupBy("sid").agg(F.first("n").alias("n"), F.first("first").alias("first"))
-    posts = one.select(F.explode("first").alias("h"), "sid", "n").repartition("h").sortWithinPartitions("h")
-    return posts.mapInArrow(lambda it: _meet(it, most), "a long, b long").distinct()
+def pairs(posts: DataFrame, most: int | None) -> DataFrame:
+    met = posts.repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: _meet(it, most), "a long, b long")
+    return written(met.distinct(), "pairs")
 
 
 def confirmed(docs: DataFrame, near: DataFrame) -> DataFrame:
@@ -160,13 +172,20 @@ def with_sid(docs: DataFrame, out: str = "sid") -> DataFrame:
 
 def roots(docs: DataFrame) -> DataFrame:
     """(sid, root): the least set reachable by links of similarity LEAST or more, for sets that have a link."""
-    hot = np.empty(0, np.uint64)
-    for left in reversed(range(ROUNDS)):
-        met = written(pairs(written(sets(docs, hot), "sets"), MOST_MET if left else None), "pairs")
-        # A shingle counts as hot only past MOST_MET sets: at most the postings / MOST_MET.
-        over = [r.a for r in met.where("b is null").select("a").collect()]
-        if not over:
-            break
-        hot = np.union1d(hot, np.array(over, np.int64).view(np.uint64))
-    links = confirmed(with_sid(docs.select("text")), met.where("b is not null"))
-    return components(links).withColumnRenamed("node", "sid")
+    posts = lambda hot: written(sets(docs, hot), "sets").select(F.posexplode("first").alias("pos", "h"), "sid", "n", F.col("sid").alias("label"))
+    named = with_sid(docs.select("text"))
+    found = posts(None)
+    met = pairs(found, MOST_MET)
+    # At most the postings / MOST_MET.
+    over = [r.a for r in met.where("b is null").select("a").collect()]
+    if over:
+        found = posts(np.unique(np.array(over, np.int64).view(np.uint64)))
+        met = pairs(found, MOST_MET)
+    links = written(confirmed(named, met.where("b is not null")), "links")
+    joined = components(links).withColumnRenamed("node", "sid")
+    hot = met.where("b is null").select(F.col("a").alias("h"))
+    if not hot.isEmpty():
+        rest = found.join(hot, "h").drop("label").join(joined, "sid", "left").select("pos", "h", "sid", "n", F.coalesce("root", "sid").alias("label"))
+        more = confirmed(named, pairs(rest, None))
+        joined = components(links.unionByName(more)).withColumnRenamed("node", "sid")
+    return joined

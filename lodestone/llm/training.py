@@ -16,8 +16,8 @@ def fold(doc_id: Column) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int) -> tuple[list[str], np.ndarray]:
     """Texts and labels of at most ``rows`` labelled documents outside the held-out fold.
 
-    The sample is the documents that come first in the order of a hash, taken whole
-    until they have ``chars`` characters; rows without a text, id or label are left out.
+    The sample is the documents that come first in the order of a hash, taken whole;
+    one that would make more than ``chars`` characters is passed over. Rows without a text, id or label are left out.
     Of repeated rows of an id the longest text counts, and its highest label.
     """
     marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
@@ -26,9 +26,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int
     sizes = docs.select("doc_id", F.length("text").alias("n")).where("n > 0").groupBy("doc_id").agg(F.max("n").alias("n"))
     chosen, total = [], 0
     for r in marks.join(sizes, "doc_id").orderBy(order, "doc_id").limit(rows).collect():
+        if total + r.n > chars:
+            continue
         total += r.n
-        if total > chars and chosen:
-            break
         chosen.append((r.doc_id, r.y))
     if not chosen:
         return [], np.empty(0)

@@ -460,3 +460,10 @@ def test_distinct_texts_under_one_id_stay(spark):
     docs = spark.createDataFrame(table, "doc_id long, text string")
     got = sorted(((-1 if r.doc_id is None else r.doc_id), r.text) for r in c.near_dedup(spark, docs, "").collect())
     assert got == sorted([(1, a), (2, b), (2, d), (-1, "own"), (-1, "words")])
+
+
+def test_a_long_text_does_not_end_the_sample(spark):
+    docs = spark.createDataFrame([(i, "x" * (200 if i % 3 == 0 else 10)) for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    texts, y = training.sample(docs, labels, "toxic", 80, 100)
+    assert texts == ["x" * 10] * 10 and len(y) == 10

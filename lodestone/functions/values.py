@@ -81,7 +81,7 @@ def described(raw: str | None) -> tuple:
     closed = lines[1:-1] if lines[-1].startswith("---") else lines[1:]
     fm = parse_yaml("\n".join(closed)) if raw else {}
     aliases = fm.get("aliases") if fm.get("aliases") is not None else fm.get("alias")
-    tags = [t.removeprefix("#") for t in strings(fm.get("tags")) + strings(fm.get("tag"))]
+    tags = [t.removeprefix("#") for t in strings(fm.get("tags"))]
     return (compact(fm), stable(fm), *(shown(fm.get(k)) for k in ("title", "status", "project", "type")), tags, strings(aliases), list(fm))
 
 

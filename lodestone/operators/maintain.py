@@ -78,10 +78,15 @@ def missing_paths(chunks: DataFrame, live: DataFrame) -> DataFrame:
     return chunks.select("path").distinct().join(live.select("path"), "path", "left_anti")
 
 
-def records(changed: DataFrame, size: int, overlap: int, embedder: Callable[[list[str]], list[list[float]]]) -> DataFrame:
-    """Chunk rows of prepared notes, with vectors. Chunks that get none are dropped."""
-    rows = embed(chunk(changed, size, overlap), embedder).where(F.size("vector") > 0)
-    return rows.withColumn("embedding_dim", F.size("vector")).select(*[F.col(f.name).cast(f.dataType) for f in CHUNKS])
+def embedded(changed: DataFrame, size: int, overlap: int, embedder: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """Chunk rows of prepared notes with vectors, and error: why the model gave none."""
+    rows = embed(chunk(changed, size, overlap), embedder, error="error").withColumn("embedding_dim", F.size("vector"))
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in CHUNKS], "error")
+
+
+def with_vectors(rows: DataFrame) -> DataFrame:
+    """Chunks that got no vector are dropped."""
+    return rows.where(F.size("vector") > 0).select(*CHUNKS.names)
 
 
 def status(chunks: DataFrame) -> DataFrame:

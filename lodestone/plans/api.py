@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 from typing import Any
 
+from pyspark.sql import DataFrame
+
 from lodestone.plans.indexer import Indexer
 from lodestone.plans.search import SearchService
 from lodestone.plans.settings import SearchOptions
+from lodestone.streaming.queue import Queue
+
+
+#: Bounds of the numbers that a request may hold.
+MOST = 1 << 31
 
 
 def body_of(request: Any) -> dict:
@@ -24,10 +32,10 @@ def options_of(body: dict) -> tuple[str, SearchOptions]:
     """Fields of the wrong type count as absent."""
     text = lambda k: body[k] if isinstance(body.get(k), str) else None
     limit = body.get("limit")
-    number = isinstance(limit, (int, float)) and not isinstance(limit, bool)
+    number = isinstance(limit, (int, float)) and not isinstance(limit, bool) and math.isfinite(limit)
     tags, fm = body.get("tags"), body.get("frontmatter")
     return text("query") or "", SearchOptions(
-        limit=int(limit) if number else None, source=text("dataviewSource"), path_query=text("dataviewQuery"), where=text("where"),
+        limit=max(-MOST, min(int(limit), MOST)) if number else None, source=text("dataviewSource"), path_query=text("dataviewQuery"), where=text("where"),
         tags=tuple(t for t in tags if isinstance(t, str)) if isinstance(tags, list) else (), frontmatter=fm if isinstance(fm, dict) else {},
     )
 
@@ -37,17 +45,20 @@ def failed(error: Exception) -> dict:
 
 
 class Api:
-    def __init__(self, service: Callable[[], SearchService], indexer: Indexer, reindex: Callable[[], None], queue: Callable[[], dict]):
-        self.service, self.indexer, self.enqueue, self.queue = service, indexer, reindex, queue
+    """Replies are what a request asks for, or error and status."""
+
+    def __init__(self, service: Callable[[], SearchService], indexer: Indexer, queue: Queue, notes: Callable[[], DataFrame]):
+        self.service, self.indexer, self.queue, self.notes = service, indexer, queue, notes
 
     def status(self) -> dict:
-        return {"index": self.indexer.status(), "queue": self.queue()}
+        return {"index": self.indexer.status(), "queue": self.queue.status()}
 
     def search(self, request: Any) -> dict:
         try:
             query, options = options_of(body_of(request))
             if not query.strip():
                 return {"results": []}
+            # At most MOST_HITS rows.
             rows = [r.asDict(recursive=True) for r in self.service().search(query, options).collect()]
             return {"results": [{"frontmatter": json.loads(r.pop("frontmatter_json") or "{}"), **r} for r in rows]}
         except Exception as e:  # noqa: BLE001 - reported to the client
@@ -55,7 +66,7 @@ class Api:
 
     def reindex(self, request: Any = None) -> dict:
         try:
-            self.enqueue()
+            self.queue.add_all(self.indexer, self.notes())
             return self.status()
         except Exception as e:  # noqa: BLE001
             return failed(e)

@@ -13,13 +13,15 @@ from lodestone.operators import filters, fusion, lexical, pathset, rerank, vecto
 from lodestone.plans.settings import SearchOptions, Settings
 
 log = logging.getLogger(__name__)
+#: Results of one search; windows over the candidates of its two legs run in one task.
+MOST_HITS = 10_000
 SHOWN = ("id", "path", "folder", "basename", "mtime", "size", "position", "text", "tags", "frontmatter_json")
 
 
 class SearchService:
-    """``chunks`` may carry an index of its text; without one, the text is analyzed at each search."""
+    """``index`` is one of the chunks' text, kept or at hand; without one, the text is analyzed at each search."""
 
-    def __init__(self, chunks: DataFrame, settings: Settings, embedder: Callable[[list[str]], list[list[float]]], reranker: rerank.Reranker | None = None, provider: pathset.NotesProvider | None = None, index: lexical.Index | None = None, analyzer: Analyzer = Analyzer()):
+    def __init__(self, chunks: DataFrame, settings: Settings, embedder: Callable[[list[str]], list[list[float]]], reranker: rerank.Reranker | None = None, provider: pathset.NotesProvider | None = None, index: lexical.Index | lexical.StoredIndex | None = None, analyzer: Analyzer = Analyzer()):
         self.chunks, self.settings, self.embedder, self.reranker, self.provider, self.index, self.analyzer = chunks, settings.clamped(), embedder, reranker, provider, index, analyzer
 
     def paths(self, o: SearchOptions) -> DataFrame | None:
@@ -29,18 +31,19 @@ class SearchService:
 
     def search(self, query: str, options: SearchOptions = SearchOptions()) -> DataFrame:
         s, text = self.settings, query.strip()
-        limit = max(1, options.limit if options.limit is not None else s.default_limit)
+        limit = min(max(1, options.limit if options.limit is not None else s.default_limit), MOST_HITS)
         rows = filters.narrowed(self.chunks, options.where, options.tags, options.frontmatter, self.paths(options))
         if not text:
             rows, text = rows.limit(0), "-"
         wide = max(limit * max(1, s.candidate_multiplier), limit)
         near = vector.nearest(rows.select("id", "vector"), self.embedder([text])[0], wide)
-        try:
-            ix = self.index or lexical.live(self.chunks, text, self.analyzer)
-            found = lexical.search(ix, text, wide, rows.select("id"))
-        except Exception as e:  # the vectors answer alone
-            log.warning("text search failed: %s", e)
-            found = near.select("id", F.lit(None).cast("double").alias("fts_score")).limit(0)
+        found = near.select("id", F.lit(None).cast("double").alias("fts_score")).limit(0)
+        if s.use_lexical:
+            try:
+                kept = self.index.index() if isinstance(self.index, lexical.StoredIndex) else self.index
+                found = lexical.search(kept or lexical.live(self.chunks, text, self.analyzer), text, wide, rows.select("id"))
+            except Exception as e:  # the vectors answer alone
+                log.warning("text search failed: %s", e)
         merged = fusion.ranked(fusion.merge(near, found))
         pool = fusion.pruned(merged, limit, s.rerank_pool_size, s.rrf_k, s.weight_vector, s.weight_lexical)
         legs = {"vector_rank": s.weight_vector, "lexical_rank": s.weight_lexical}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import asdict, dataclass, field, fields, replace
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -16,17 +16,18 @@ TEXTS = T.ArrayType(T.StringType(), True)
 class Settings:
     """The engine's knobs; ``clamped`` gives the values that are used."""
 
-    embedding_url: str = "http://127.0.0.1:8001"
+    embedding_url: str = "http://127.0.0.1:11434"
     embedding_path: str = "/v1/embeddings"
-    embedding_model: str = "local-embedding"
-    rerank_url: str = "http://127.0.0.1:8002"
+    embedding_model: str = "nomic-embed-text"
+    rerank_url: str = "http://127.0.0.1:11434"
     rerank_path: str = "/v1/rerank"
     rerank_model: str = ""
-    use_rerank: bool = True
+    use_rerank: bool = False
     chunk_size: int = 1200
     chunk_overlap: int = 180
     default_limit: int = 10
     default_source: str = ""
+    use_lexical: bool = True
     candidate_multiplier: int = 4
     rerank_pool_size: int = 50
     rrf_k: float = 60
@@ -56,6 +57,11 @@ def load_settings(stored: dict | None) -> Settings:
     return Settings(**{k: v for k, v in (stored or {}).items() if k in names})
 
 
+def save_settings(settings: Settings) -> dict:
+    """What load_settings reads."""
+    return asdict(settings)
+
+
 @dataclass(frozen=True)
 class SearchOptions:
     """What narrows a search. ``allowed_paths`` is a one-column frame; None filters nothing."""

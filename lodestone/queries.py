@@ -296,7 +296,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rename_paths": rename_paths,
     "replace_paths": replace_paths,
     "remove_missing": _gone,
-    "queue_dedupe": lambda s, d: queue.pending(events(s, d), "attempts"),
+    "queue_dedupe": lambda s, d: queue.pending(events(s, d)),
     "queue_stats": lambda s, d: queue.stats(_table(s, d, "events").select(F.expr(OUTCOME).alias("outcome"))),
     "status_counts": lambda s, d: maintain.status(chunks(s, d)),
     "render_scores": lambda s, d: _labels(_fused(s, d)),
@@ -346,7 +346,7 @@ def sql() -> dict[str, str]:
         "replace_paths": _with(f""", c AS ({changed}) SELECT id, path, sha256(text) AS text_hash FROM ({KEPT_SQL()}) WHERE path NOT IN (SELECT path FROM c)
             UNION ALL SELECT id, path, sha256(text) FROM ({chunks_sql()}) WHERE path IN (SELECT path FROM c)"""),
         "remove_missing": _with("SELECT DISTINCT path FROM earlier WHERE path NOT IN (SELECT path FROM notes)"),
-        "queue_dedupe": "SELECT user_id::VARCHAR AS path, min(ts) AS enqueued_at, max(ts) AS updated_at, arg_max(event_id, (ts, event_id)) AS attempts FROM events GROUP BY user_id",
+        "queue_dedupe": "SELECT user_id::VARCHAR AS path, min(ts) AS enqueued_at, max(ts) AS updated_at, max(event_id) AS attempts FROM events GROUP BY user_id",
         "queue_stats": f"""SELECT count(*) FILTER (o IN ('embedded', 'metadata-only', 'unchanged', 'skipped')) AS processed, count(*) FILTER (o = 'embedded') AS embedded,
             count(*) FILTER (o = 'metadata-only') AS metadata_only, count(*) FILTER (o = 'unchanged') AS unchanged, count(*) FILTER (o = 'failed') AS failed,
             count(*) FILTER (o = 'queued') AS queued FROM (SELECT {OUTCOME} AS o FROM events)""",

@@ -78,15 +78,35 @@ class HashEmbedder:
         return (out / np.where(size > 0, size, 1)).tolist()
 
 
-def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], text: str = "text", batch: int = 64) -> DataFrame:
-    """Adds vector: texts of many notes go to the model together. Null where the model gives none."""
+def answers(embedder: Callable[[list[str]], list[list[float]]], texts: list[str], strict: bool) -> tuple[list, list[str | None]]:
+    """A vector or None and an error or None of each text; unless ``strict``, texts that fail together are tried in halves."""
+    try:
+        vectors = list(embedder(texts))
+    except Exception as e:  # noqa: BLE001 - whatever a model raises is the failure of a text
+        if strict:
+            raise
+        if len(texts) == 1:
+            return [None], [str(e) or type(e).__name__]
+        half = len(texts) // 2
+        (v, x), (w, y) = answers(embedder, texts[:half], False), answers(embedder, texts[half:], False)
+        return v + w, x + y
+    return (vectors + [None] * len(texts))[: len(texts)], [None] * len(texts)
+
+
+def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], text: str = "text", batch: int = 64, error: str | None = None) -> DataFrame:
+    """Adds vector: texts of many notes go to the model together. Null where the model gives none.
+
+    With a column ``error``, a failing text does not fail the others: its message is kept there.
+    """
+    added = ["vector", *([error] if error else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, batch):
                 part = b.slice(at, batch)
-                vectors = list(embedder(part.column(text).to_pylist()))
-                vectors = (vectors + [None] * part.num_rows)[: part.num_rows]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, pa.list_(pa.float32()))], names=[*part.schema.names, "vector"])
+                vectors, errors = answers(embedder, part.column(text).to_pylist(), error is None)
+                more = [pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more[: len(added)]], names=[*part.schema.names, *added])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType(), True))]))
+    kinds = [T.ArrayType(T.FloatType(), True), T.StringType()]
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *[T.StructField(n, k) for n, k in zip(added, kinds)]]))

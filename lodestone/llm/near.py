@@ -1,41 +1,54 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: a prefix-filter self-join.
-
-A text is the set of its hashed shingles; texts of equal sets meet as one, so copies
-are never paired. In any one order of all shingles, two sets of similarity LEAST or
-more share one among the first n - ceil(LEAST n) + 1 of each, so only these are
-shuffled; sets that meet are confirmed on all their shingles. No pair is missed.
-
-The order is that of the hashes. If more than MOST_MET sets put a shingle forward, it
-is moved to the end and the prefixes are taken anew, so common passages join nobody.
-What is still hot then is mostly groups of near copies: each set is first compared
-with the least of its run, and then only with sets that no link joins to it yet.
-These last pairs are all made, whatever their number.
+"""Near-duplicates by five-word shingles: SimHash at a wide error budget, within blocks that no similar pair escapes.
+
+At a similarity (Jaccard) of 0.8 the SimHashes of two texts differ in about ten of 64
+bits, a budget at which a trie over a whole corpus prunes next to nothing. So the
+corpus is first cut into blocks. A text is the set of its hashed shingles, and texts
+of equal sets meet as one, so copies are never paired. In any one order of all
+shingles, two sets of similarity LEAST or more share one among the first
+n - ceil(LEAST n) + 1 of each; the sets that put a shingle forward are its block.
+Within blocks, pairs whose SimHashes are further apart than BITS are pruned, large
+blocks by walking the trie of their fingerprints against itself, and what is left is
+confirmed on all shingles.
+
+The order is that of the hashes, but shingles that many sets put forward come last, so
+common passages make no blocks: their places in a bitmap of a fixed size are sent to
+all tasks, and as the bitmap decides for every text alike, a false mark costs nothing.
+A large block is mostly a group of near copies: its sets are first compared with the
+least of them alone, and then only sets that no link joins yet, dealt to tasks by
+pairs of buckets, so that no block meets in one task.
 
 A text of up to SHINGLE words is one shingle; texts without words are equal. Links
-are between sets, so ids play no part.
+are between sets, so ids play no part. Null is an empty text; very long texts cost
+time in proportion and a fifth of their shingles; an empty table has no sets.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.common import mapped, written
 from lodestone.llm.components import components
+from lodestone.llm.trie import close_pairs
 
 SHINGLE, SEED = 5, 42
 #: The least similarity, as a fraction.
 LEAST = (4, 5)
-#: Sets that may meet at a shingle before it counts as hot.
-MOST_MET = 8
-STEP = 1 << 18
+#: The most bits in which similar sets differ, of 64 and of 128: five deviations beyond the ten and twenty expected
+#: at LEAST. Sets of fewer shingles than SURE are not pruned by bits.
+BITS, SURE = (24, 40), 16
+#: Sets of a block that are all compared at once; sets of a larger block that one task compares.
+MOST_MET, BUCKET = 8, 1024
+#: The bitmap of frequent shingles: its size, its parts, and how many shingles it marks at most.
+HOT_BITS, HOT_PART, MOST_HOT = 1 << 26, 1 << 20, 1 << 22
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -55,93 +68,156 @@ def set_ids(texts: list[str | None]) -> list[int]:
     return [set_id(shingles(t)) for t in texts]
 
 
-def _prefix(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
+def simhash(h: np.ndarray) -> np.ndarray:
+    """Two 64-bit fingerprints (as signed longs) of a set: of the hashes and of the hashes mixed."""
+    ones = np.zeros(128, np.int64)
+    for i in range(0, len(h), 1 << 16):
+        part = h[i : i + (1 << 16)]
+        other = (part ^ part >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+        ones += np.unpackbits(np.stack([part, other ^ other >> np.uint64(29)], 1).astype(">u8").view(np.uint8)).reshape(-1, 128).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h)).view(">i8").astype(np.int64)
+
+
+def prefix(h: np.ndarray, hot: np.ndarray | None) -> np.ndarray:
     n = len(h) - -(-LEAST[0] * len(h) // LEAST[1]) + 1
-    if len(hot) and len(h):
-        late = np.isin(h, hot)
+    if hot is not None and len(h):
+        at = h & np.uint64(HOT_BITS - 1)
+        late = (hot[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         h = np.concatenate([h[~late], h[late]])
     return h[:n].view(np.int64)
 
 
-def sets(docs: DataFrame, hot: np.ndarray | None = None) -> DataFrame:
-    """sid (of the text's set), n (its size), first (its prefix)."""
-    hot = np.empty(0, np.uint64) if hot is None else hot
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), pa.array(np.concatenate([*rows, np.empty(0, np.int64)])))
+
+
+def hot_shingles(docs: DataFrame) -> np.ndarray | None:
+    """The bitmap of shingles that more than MOST_MET texts put forward; of the most frequent, if they are too many for it."""
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([prefix(shingles(x.as_py()), None) for x in b.column("text")] or [np.empty(0, np.int64)]))], names=["h"])
+
+    counts = docs.select("text").mapInArrow(heads, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_MET)
+    often = written(counts.select("h", F.floor(F.log2("n")).cast("int").alias("level")), "often")
+    levels, least, seen = dict(often.groupBy("level").count().collect()), None, 0  # at most 64
+    for level in sorted(levels, reverse=True):
+        seen += levels[level]
+        if seen > MOST_HOT and least is not None:
+            break
+        least = level
+    if least is None:
+        return None
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = b.column("at").to_numpy()
+            for p in np.unique(at // HOT_PART).tolist():
+                parts.setdefault(p, np.zeros(HOT_PART, bool))[at[at // HOT_PART == p] % HOT_PART] = True
+        rows = [(p, zlib.compress(np.packbits(x, bitorder="little").tobytes(), 1)) for p, x in parts.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "bits"])
+
+    at = often.where(F.col("level") >= least).select(F.col("h").bitwiseAND(F.lit(HOT_BITS - 1)).alias("at")).distinct()
+    out = np.zeros(HOT_BITS // 8, np.uint8)
+    # At most HOT_BITS bits.
+    for p, bits in at.repartition(HOT_BITS // HOT_PART, F.floor(F.col("at") / HOT_PART)).mapInArrow(pack, "part int, bits binary").collect():
+        out[p * HOT_PART // 8 : (p + 1) * HOT_PART // 8] |= np.frombuffer(zlib.decompress(bits), np.uint8)
+    return out
+
+
+def sets(docs: DataFrame) -> DataFrame:
+    """sid, n (how many shingles), fp and fq (their SimHash), first (the prefix); a row for each distinct set."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             all_ = [shingles(x.as_py()) for x in b.column("text")]
-            first = [_prefix(h, shared.value) for h in all_]
-            ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
-            flat = np.concatenate([*first, np.empty(0, np.int64)])
-            cols = [pa.array([set_id(h) for h in all_], pa.int64()), pa.array([len(h) for h in all_], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["sid", "n", "first"])
-
-    return docs.select("text").mapInArrow(run, "sid long, n long, first array<long>")
-
-
-def _met(h: np.ndarray, sid: np.ndarray, n: np.ndarray, pos: np.ndarray, label: np.ndarray, most: int | None) -> Iterator[pa.RecordBatch]:
-    """Pairs of sets, of sizes that allow LEAST and of unlike labels, in runs of one shingle.
-
-    Of a run longer than ``most``: the shingle, b null, and the pairs of its least set.
-    """
-    order = np.lexsort((sid, h))
-    h, sid, n, pos, label = (x[order] for x in (h, sid, n, pos, label))
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])])[: len(h)]  # copies meet as one
-    h, sid, n, pos, label = (x[new] for x in (h, sid, n, pos, label))
-    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
-    size = np.diff(np.append(start, len(h)))
-    if most is not None and (size > most).any():
-        over, many = start[size > most], size[size > most]
-        x = np.repeat(sid[over], many)
-        y = np.concatenate([sid[i : i + k] for i, k in zip(over, many)])
-        yield pa.RecordBatch.from_arrays([pa.array(h[over]), pa.nulls(len(over), pa.int64())], names=["a", "b"])
-        yield pa.RecordBatch.from_arrays([pa.array(x[x != y]), pa.array(y[x != y])], names=["a", "b"])
-        start, size = start[size <= most], size[size <= most]
-    left = np.repeat(size - 1, size) - (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
-    at = np.repeat(start, size) + np.repeat(size - 1, size) - left
-    d, made, held = 1, [], 0
-    while True:
-        at, left = at[left >= d], left[left >= d]
-        if not len(at):
-            break
-        i, j = at, at + d
-        fits = (LEAST[1] * np.minimum(n[i], n[j]) >= LEAST[0] * np.maximum(n[i], n[j])) & (label[i] != label[j])
-        # The first shingle that two near sets share leaves each enough to share from there on.
-        fits &= sum(LEAST) * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= LEAST[0] * (n[i] + n[j])
-        x, y = sid[i[fits]], sid[j[fits]]
-        made.append((np.minimum(x, y), np.maximum(x, y)))
-        held += len(x)
-        d += 1
-        if held > STEP:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made)], names=["a", "b"])
-            made, held = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made)], names=["a", "b"])
-
-
-def _meet(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
-    """_met over batches in the order of h; a run may go on in the next batch."""
-    parts: list[list[np.ndarray]] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        new = [b.column(c).to_numpy() for c in ("h", "sid", "n", "pos", "label")]
-        cut = int(np.searchsorted(new[0], new[0][-1]))
-        if cut:  # a new run begins in this batch: what came before is whole
-            yield from _met(*(np.concatenate(c) for c in zip(*parts, [x[:cut] for x in new])), most)
-            parts = []
-        elif parts and parts[0][0][0] != new[0][0]:
-            yield from _met(*(np.concatenate(c) for c in zip(*parts)), most)
-            parts = []
-        parts.append([x[cut:] for x in new])
-    if parts:
-        yield from _met(*(np.concatenate(c) for c in zip(*parts)), most)
-
-
-def pairs(posts: DataFrame, most: int | None) -> DataFrame:
-    met = posts.repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: _meet(it, most), "a long, b long")
-    return written(met.distinct(), "pairs")
+            prints = np.stack([simhash(h) for h in all_]) if all_ else np.empty((0, 2), np.int64)
+            cols = [pa.array([set_id(h) for h in all_], pa.int64()), pa.array([len(h) for h in all_], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1])]
+            yield pa.RecordBatch.from_arrays([*cols, _lists([prefix(h, shared.value) for h in all_])], names=["sid", "n", "fp", "fq", "first"])
+
+    rows = docs.select("text").mapInArrow(run, "sid long, n long, fp long, fq long, first array<long>")
+    return written(rows.groupBy("sid").agg(*[F.any_value(c).alias(c) for c in ("n", "fp", "fq", "first")]), "sets")
+
+
+def blocks(found: DataFrame) -> DataFrame:
+    """h (the block), g (its sets), sid, pos (of h in the prefix), n, fp, fq; blocks of one set are left out."""
+    posts = found.select("sid", F.posexplode("first").alias("pos", "h"))
+    met = posts.groupBy("h").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
+    return written(posts.join(met, "h").join(found.select("sid", "n", "fp", "fq"), "sid"), "blocks")
+
+
+def may_be_near(x: str, y: str) -> Column:
+    """Whether sizes, places of the shared shingle and fingerprints of the sides x and y allow a similarity of LEAST."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    size = LEAST[1] * F.least(c(x, "n"), c(y, "n")) >= LEAST[0] * F.greatest(c(x, "n"), c(y, "n"))
+    # The first shingle that two near sets share leaves each enough to share from there on.
+    place = sum(LEAST) * F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos")) >= LEAST[0] * (c(x, "n") + c(y, "n"))
+    one, two = (F.bit_count(c(x, k).bitwiseXOR(c(y, k))) for k in ("fp", "fq"))
+    return size & place & ((F.least(c(x, "n"), c(y, "n")) < SURE) | ((one <= BITS[0]) & (one + two <= BITS[1])))
+
+
+def first_pairs(met: DataFrame) -> DataFrame:
+    """All pairs (a, b) of small blocks, and those of large blocks' least sets, that may be near."""
+    pair = (F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
+    small, large = met.where(F.col("g") <= MOST_MET), met.where(F.col("g") > MOST_MET)
+    all_ = small.alias("x").join(small.alias("y"), F.col("x.h") == F.col("y.h")).where(F.col("x.sid") < F.col("y.sid")).where(may_be_near("x", "y")).select(*pair)
+    least = large.groupBy("h").agg(F.min(F.struct("sid", "n", "pos", "fp", "fq")).alias("l")).select("h", "l.*")
+    star = large.alias("x").join(least.alias("y"), F.col("x.h") == F.col("y.h")).where(F.col("x.sid") != F.col("y.sid")).where(may_be_near("x", "y")).select(*pair)
+    return written(all_.unionByName(star).distinct(), "pairs")
+
+
+def _close(t: pa.Table) -> pa.Table:
+    """Pairs of a task: of sets of unlike labels, and of its two buckets if it has two, that may be near."""
+    v = {c: t.column(c).to_numpy() for c in ("sid", "pos", "n", "fp", "fq", "label", "u")}
+    v |= {c: v[c].view(np.uint64) for c in ("fp", "fq")}
+    same = t.column("x")[0].as_py() == t.column("y")[0].as_py()
+    left = np.arange(len(t)) if same else np.flatnonzero(v["u"] == t.column("x")[0].as_py())
+    right = left if same else np.flatnonzero(v["u"] == t.column("y")[0].as_py())
+    out = []
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        n, m = v["n"][i], v["n"][j]
+        fits = (v["label"][i] != v["label"][j]) & (LEAST[1] * np.minimum(n, m) >= LEAST[0] * np.maximum(n, m))
+        fits &= sum(LEAST) * np.minimum(n - v["pos"][i], m - v["pos"][j]) >= LEAST[0] * (n + m)
+        far = np.bitwise_count(v["fp"][i] ^ v["fp"][j]).astype(int) + np.bitwise_count(v["fq"][i] ^ v["fq"][j])
+        fits &= (far <= BITS[1]) | (np.minimum(n, m) < SURE)
+        i, j = i[fits], j[fits]
+        out.append(np.stack([np.minimum(v["sid"][i], v["sid"][j]), np.maximum(v["sid"][i], v["sid"][j])]))
+
+    def members(side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        side = side[np.argsort(v["fp"][side], kind="stable")]
+        prints, start = np.unique(v["fp"][side], return_index=True)
+        return side, prints, np.append(start, len(side))
+
+    (a, fa, sa), (b, fb, sb) = members(left), members(right)
+    pairs = [(i, j) for i, j in close_pairs(fa, fb, BITS[0], same)]
+    equal = np.arange(len(fa)) if same else np.flatnonzero(np.isin(fa, fb))
+    if same:
+        pairs.append((equal, equal))
+    for i, j in pairs:  # of fingerprints; now of the sets that have them
+        many = (sa[i + 1] - sa[i]) * (sb[j + 1] - sb[j])
+        of = np.repeat(np.arange(len(i)), many)
+        k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        wide = (sb[j + 1] - sb[j])[of]
+        keep(a[sa[i][of] + k // wide], b[sb[j][of] + k % wide])
+    short = [s[v["n"][s] < 2 * SURE] for s in (left, right)]  # bits do not prune pairs with so few shingles
+    keep(np.repeat(short[0], len(short[1])), np.tile(short[1], len(short[0])))
+    made = np.unique(np.concatenate(out, 1), axis=1)
+    made = made[:, made[0] != made[1]]
+    return pa.table({"a": pa.array(made[0], pa.int64()), "b": pa.array(made[1], pa.int64())})
+
+
+def other_pairs(met: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs of large blocks that may be near and that no link joins yet."""
+    large = met.where(F.col("g") > MOST_MET).join(joined, "sid", "left").withColumn("label", F.coalesce("root", "sid")).drop("root")
+    mixed = large.groupBy("h").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("h")
+    buckets = F.ceil(F.col("g") / BUCKET).cast("int")
+    rows = large.join(mixed, "h").withColumn("s", buckets).withColumn("u", F.pmod(F.xxhash64("sid"), F.col("s")).cast("int"))
+    dealt = rows.withColumn("v", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    dealt = dealt.select("h", F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"), "u", "sid", "pos", "n", "fp", "fq", "label")
+    return written(dealt.groupBy("h", "x", "y").applyInArrow(_close, "a long, b long").distinct(), "pairs")
 
 
 def confirmed(docs: DataFrame, near: DataFrame) -> DataFrame:
@@ -150,14 +226,13 @@ def confirmed(docs: DataFrame, near: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hs = [shingles(x.as_py()) for x in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("sid"), pa.array([h.view(np.int64) for h in hs], pa.list_(pa.int64()))], names=["sid", "all"])
+            yield pa.RecordBatch.from_arrays([b.column("sid"), _lists([shingles(x.as_py()).view(np.int64) for x in b.column("text")])], names=["sid", "all"])
 
-    one = docs.join(ids, "sid", "left_semi").groupBy("sid").agg(F.min("text").alias("text"))
+    one = with_sid(docs.select("text")).join(ids, "sid", "left_semi").groupBy("sid").agg(F.min("text").alias("text"))
     whole = written(one.mapInArrow(run, "sid long, all array<long>"), "shingles")
     both = near.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b")
     same = F.size(F.array_intersect("x", "y")).cast("long")
-    return both.withColumn("same", same).where(LEAST[1] * F.col("same") >= LEAST[0] * (F.size("x") + F.size("y") - F.col("same"))).select("a", "b")
+    return written(both.withColumn("same", same).where(LEAST[1] * F.col("same") >= LEAST[0] * (F.size("x") + F.size("y") - F.col("same"))).select("a", "b"), "links")
 
 
 def with_sid(docs: DataFrame, out: str = "sid") -> DataFrame:
@@ -172,20 +247,10 @@ def with_sid(docs: DataFrame, out: str = "sid") -> DataFrame:
 
 def roots(docs: DataFrame) -> DataFrame:
     """(sid, root): the least set reachable by links of similarity LEAST or more, for sets that have a link."""
-    posts = lambda hot: written(sets(docs, hot), "sets").select(F.posexplode("first").alias("pos", "h"), "sid", "n", F.col("sid").alias("label"))
-    named = with_sid(docs.select("text"))
-    found = posts(None)
-    met = pairs(found, MOST_MET)
-    # At most the postings / MOST_MET.
-    over = [r.a for r in met.where("b is null").select("a").collect()]
-    if over:
-        found = posts(np.unique(np.array(over, np.int64).view(np.uint64)))
-        met = pairs(found, MOST_MET)
-    links = written(confirmed(named, met.where("b is not null")), "links")
+    met = blocks(sets(docs))
+    links = confirmed(docs, first_pairs(met))
     joined = components(links).withColumnRenamed("node", "sid")
-    hot = met.where("b is null").select(F.col("a").alias("h"))
-    if not hot.isEmpty():
-        rest = found.join(hot, "h").drop("label").join(joined, "sid", "left").select("pos", "h", "sid", "n", F.coalesce("root", "sid").alias("label"))
-        more = confirmed(named, pairs(rest, None))
-        joined = components(links.unionByName(more)).withColumnRenamed("node", "sid")
+    more = other_pairs(met, joined)
+    if not more.isEmpty():
+        joined = components(links.unionByName(confirmed(docs, more))).withColumnRenamed("node", "sid")
     return joined

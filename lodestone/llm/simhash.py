@@ -3,35 +3,42 @@
 Distinct fingerprints are the leaves of a binary trie. The join walks pairs of trie
 nodes together, starting with the root and itself: a pair whose bits differ spends
 one of the allowed differences, and a pair that has spent more is pruned. The top of
-the trie, cut where a subtree holds few enough fingerprints, is walked on the driver
-over counts of prefixes alone; each surviving pair of subtrees is a task, which
-walks on in numpy and returns a spanning forest of its links, never the pairs.
-Forests are joined into components by star contraction.
+the trie, cut where a subtree holds few enough fingerprints, is a table of nodes, and
+the pairs of nodes that the budget lets meet are a table too; each such pair is a
+task, which walks on in numpy and returns a spanning forest of its links, never the
+pairs. Forests are joined into components by star contraction. The driver holds no
+nodes, pairs or links.
 
 Documents with equal fingerprints meet as one; no group of copies is expanded. A
-text without words has fingerprint 0. Links are between fingerprints, so documents
-with null or repeated ids link by their texts alone. A component is named by its
-least doc_id; null if all its ids are null. Repeated rows give repeated results.
+text without words, null or empty, has fingerprint 0; very long texts are read whole,
+in time in proportion. Links are between fingerprints, so documents with null or
+repeated ids link by their texts alone. A component is named by its least doc_id;
+null if all its ids are null. Repeated rows give repeated results; other columns are
+left out; an empty table has no rows.
+
+``similar`` is the operator at a similarity of 0.8 of five-word shingles (near.py):
+there the trie is walked at a wide budget, within blocks, and links are confirmed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import written
+from lodestone.llm import near
+from lodestone.llm.common import fresh, written
 from lodestone.llm.components import components
+from lodestone.llm.trie import close_pairs, merge
 
 SHINGLE, SEED, BITS = 3, 42, 2
 #: Fingerprints in a subtree that one task takes whole.
 LEAST_LEAF, MOST_LEAF = 2048, 65536
-FRONTIER = 1 << 17
 
 
 def fingerprint_bytes(text: str | None, size: int = SHINGLE) -> bytes:
@@ -58,106 +65,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-class Node:
-    """A subtree: its prefix (as the least value under it), depth, and children or the number of its leaf."""
-
-    __slots__ = ("low", "depth", "kids", "leaf")
-
-    def __init__(self, low: int, depth: int):
-        self.low, self.depth, self.kids, self.leaf = low, depth, (), -1
-
-
-def top(cells: list[tuple[int, int, int]], most: int) -> tuple[Node | None, list[Node]]:
-    """The trie's top over cells (least value, depth, count), cut at ``most`` or at a cell; its leaves in order."""
-    leaves: list[Node] = []
-
-    def grow(own: list[tuple[int, int, int]], low: int, depth: int) -> Node | None:
-        if not own:
-            return None
-        node = Node(low, depth)
-        if sum(c[2] for c in own) <= most or (len(own) == 1 and own[0][1] <= depth):
-            node.leaf = len(leaves)
-            leaves.append(node)
-        else:
-            bit = 1 << (63 - depth)
-            node.kids = (grow([c for c in own if not c[0] & bit], low, depth + 1), grow([c for c in own if c[0] & bit], low | bit, depth + 1))
-        return node
-
-    return grow(cells, 0, 0), leaves
-
-
-def node_pairs(root: Node, bits: int) -> list[tuple[int, int]]:
-    """Pairs of leaves, each once, whose prefixes differ in at most ``bits`` bits."""
-    out, todo = [], [(root, root, bits)]
-    while todo:
-        a, b, left = todo.pop()
-        if a is None or b is None or left < 0:
-            continue
-        if a.leaf >= 0 and b.leaf >= 0:
-            out.append((a.leaf, b.leaf))
-        elif a is b:
-            todo += [(a.kids[0], a.kids[0], left), (a.kids[1], a.kids[1], left), (a.kids[0], a.kids[1], left - 1)]
-        elif a.leaf >= 0:
-            todo += [(a, k, left) for k in b.kids]
-        elif b.leaf >= 0:
-            todo += [(k, b, left) for k in a.kids]
-        else:
-            todo += [(a.kids[i], b.kids[j], left - (i != j)) for i in (0, 1) for j in (0, 1)]
-    return out
-
-
-def close_pairs(a: np.ndarray, b: np.ndarray, bits: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of values at most ``bits`` bits apart; a, b sorted and distinct uint64; same: a is b, each pair once."""
-    if not len(a) or not len(b):
-        return
-    todo = [(0, *(np.array([x], np.int64) for x in (0, len(a), 0, len(b), bits)))]
-    while todo:
-        depth, al, ah, bl, bh, left = todo.pop()
-        small = (ah - al) * (bh - bl) <= 16
-        if small.any():
-            s, t = al[small], bl[small]
-            n, m = (ah - al)[small], (bh - bl)[small]
-            size = n * m
-            of = np.repeat(np.arange(len(s)), size)
-            k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            i, j = s[of] + k // m[of], t[of] + k % m[of]
-            near = np.bitwise_count(a[i] ^ b[j]) <= bits
-            if same:
-                near &= i < j
-            if near.any():
-                yield i[near], j[near]
-        big = ~small
-        if not big.any():
-            continue
-        al, ah, bl, bh, left = al[big], ah[big], bl[big], bh[big], left[big]
-        bit = np.uint64(1 << (63 - depth))
-        above = np.uint64((1 << 64) - (1 << (64 - depth))) if depth else np.uint64(0)
-        am = np.searchsorted(a, a[al] & above | bit)
-        bm = np.searchsorted(b, b[bl] & above | bit)
-        kids = [(al, am, bl, bm, left), (am, ah, bm, bh, left), (al, am, bm, bh, left - 1), (am, ah, bl, bm, left - 1)]
-        if same:  # a node with itself: its two children meet once
-            own = (al == bl) & (ah == bh)
-            kids[3] = tuple(x[~own] for x in kids[3])
-        al, ah, bl, bh, left = (np.concatenate(x) for x in zip(*kids))
-        alive = (ah > al) & (bh > bl) & (left >= 0)
-        parts = [x[alive] for x in (al, ah, bl, bh, left)]
-        for i in range(0, len(parts[0]), FRONTIER):
-            todo.append((depth + 1, *(x[i : i + FRONTIER] for x in parts)))
-
-
-def merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Labels after joining i and j: each class is named by its least member."""
-    while True:
-        x, y = label[i], label[j]
-        differ = x != y
-        if not differ.any():
-            return label
-        i, j, x, y = i[differ], j[differ], x[differ], y[differ]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while (label != (deeper := label[label])).any():
-            label = deeper
-
-
 def _task(table: pa.Table, bits: int) -> pa.Table:
     side, fp, rep = (table.column(c).to_numpy() for c in ("side", "fp", "rep"))
     fp = fp.view(np.uint64)
@@ -173,48 +80,73 @@ def _task(table: pa.Table, bits: int) -> pa.Table:
     return pa.table({"a": pa.array(rep[joined]), "b": pa.array(rep[label[joined]])})
 
 
-def trie_links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
-    """(fp, rep), each fp once -> (a, b): links between reps that join every pair within ``bits`` bits, transitively."""
-    n = distinct.count()
+def masks(depth: int, bits: int) -> list[int]:
+    """All numbers of ``depth`` binary digits with at most ``bits`` ones, as signed longs."""
+    out = [sum(1 << i for i in at) for k in range(bits + 1) for at in combinations(range(depth), k)]
+    return [m - (1 << 64) if m >> 63 else m for m in out]
+
+
+def leaves(distinct: DataFrame, n: int) -> DataFrame:
+    """(depth, prefix): the subtrees, cut where one holds few enough fingerprints, that the leaves fall into.
+
+    A node is the first ``depth`` bits. Nodes with too many fingerprints are cut again
+    six bits deeper, until none has; every count is a grouped sum, kept as a table.
+    """
     most = min(max(n // 64, LEAST_LEAF), MOST_LEAF)
     depth = min(max((n // most).bit_length() + 3, 4), 16)
-    cells, heavy = [], None
-    while True:  # counts of prefixes; only those of heavy subtrees are taken further
-        prefix = F.shiftrightunsigned("fp", 64 - depth)
-        rows = distinct if heavy is None else distinct.where(F.shiftrightunsigned("fp", 64 - heavy[0]).isin(heavy[1]))
-        counts = [(int(p), int(c)) for p, c in rows.groupBy(prefix.alias("p")).count().collect()]
-        step = min(64 - depth, 6)
-        over = [p for p, c in counts if c > most and step]
-        cells += [(p << (64 - depth), depth, c) for p, c in counts if not (c > most and step)]
-        if not over:
-            break
-        heavy = (depth, over)
-        depth += step
-    root, leaves = top(sorted(cells), most)
-    pairs = node_pairs(root, bits) if root else []
-    lows = np.array([x.low for x in leaves], np.uint64)
-    own: list[list[tuple[int, int]]] = [[] for _ in leaves]
-    for t, (x, y) in enumerate(pairs):
-        own[x].append((t, 0))
-        if x != y:
-            own[y].append((t, 1))
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in own], dtype=np.int64)])
-    task = np.array([t for x in own for t, _ in x], np.int64)
-    side = np.array([s for x in own for _, s in x], np.int32)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp, rep = b.column("fp").to_numpy(), b.column("rep").to_numpy()
-            for i in range(0, len(fp), 20_000):
-                f, r = fp[i : i + 20_000], rep[i : i + 20_000]
-                leaf = np.searchsorted(lows, f.view(np.uint64), side="right") - 1
-                size = starts[leaf + 1] - starts[leaf]
-                at = np.repeat(starts[leaf] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                cols = [task[at], side[at], np.repeat(f, size), np.repeat(r, size)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["task", "side", "fp", "rep"])
+    rows, found = distinct.select("fp"), None
+    while True:
+        counts = written(rows.groupBy(_prefix(depth).alias("prefix")).agg(F.count(F.lit(1)).alias("n")), "nodes")
+        heavy = counts.where((F.col("n") > most) & F.lit(depth < 64)).select("prefix")
+        here = counts.join(heavy, "prefix", "left_anti").select(F.lit(depth).alias("depth"), "prefix")
+        found = here if found is None else found.unionByName(here)
+        if heavy.isEmpty():
+            return written(found, "leaves")
+        rows = rows.join(heavy, _prefix(depth) == F.col("prefix"), "left_semi")
+        depth = min(depth + 6, 64)
+
+
+def _prefix(depth: int) -> Column:
+    return F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
+
+
+def node_pairs(cut: DataFrame, bits: int) -> DataFrame:
+    """(a_depth, a, b_depth, b): pairs of leaves, each once, whose common bits differ in at most ``bits``.
+
+    What is left of walking both sides of the trie together to the leaves: a node
+    meets the nodes that the error budget can reach from it, and no others are formed.
+    """
+    depths = sorted(r[0] for r in cut.select("depth").distinct().collect())  # some of 1 to 64
+    out = None
+    for i, x in enumerate(depths):
+        flips = F.array(*[F.lit(m).cast("long") for m in masks(x, bits)])  # 137 at 16 bits, 2081 at 64 (two of them)
+        a = cut.where(F.col("depth") == x).select(F.col("prefix").alias("a"))
+        reach = a.select("a", F.explode(flips).alias("m")).select("a", F.col("a").bitwiseXOR(F.col("m")).alias("key"))
+        for y in depths[i:]:
+            b = cut.where(F.col("depth") == y).select(F.col("prefix").alias("b"), F.shiftrightunsigned("prefix", y - x).alias("key"))
+            met = reach.join(b, "key").where(F.col("a") <= F.col("b") if x == y else F.lit(True))
+            one = met.select(F.lit(x).alias("a_depth"), "a", F.lit(y).alias("b_depth"), "b")
+            out = one if out is None else out.unionByName(one)
+    return out
 
-    dealt = distinct.select("fp", "rep").mapInArrow(deal, "task long, side int, fp long, rep long")
-    return dealt.groupBy("task").applyInArrow(lambda t: _task(t, bits), "a long, b long")
+
+def trie_links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
+    """(fp, rep), each fp once -> (a, b): links between reps that join every pair within ``bits`` bits, transitively."""
+    cut = leaves(distinct, distinct.count())
+    depths = sorted(r[0] for r in cut.select("depth").distinct().collect())
+    if not depths:
+        return distinct.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    pairs = written(node_pairs(cut, bits), "pairs")
+    placed = None
+    for x in depths:  # each fingerprint falls into one leaf
+        own = cut.where(F.col("depth") == x).select("depth", "prefix")
+        one = distinct.select("fp", "rep", _prefix(x).alias("prefix")).join(own, "prefix")
+        placed = one if placed is None else placed.unionByName(one)
+    as_a = placed.withColumnsRenamed({"depth": "a_depth", "prefix": "a"}).join(pairs, ["a_depth", "a"]).withColumn("side", F.lit(0))
+    other = pairs.where((F.col("a_depth") != F.col("b_depth")) | (F.col("a") != F.col("b")))
+    as_b = placed.withColumnsRenamed({"depth": "b_depth", "prefix": "b"}).join(other, ["b_depth", "b"]).withColumn("side", F.lit(1))
+    dealt = as_a.unionByName(as_b).select("a_depth", "a", "b_depth", "b", "side", "fp", "rep")
+    return dealt.groupBy("a_depth", "a", "b_depth", "b").applyInArrow(lambda t: _task(t, bits), "a long, b long")
 
 
 def clusters(docs: DataFrame, bits: int = BITS) -> DataFrame:
@@ -227,5 +159,12 @@ def clusters(docs: DataFrame, bits: int = BITS) -> DataFrame:
     return fps.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def similar(docs: DataFrame, out: str = "component") -> DataFrame:
+    """Adds the column ``out``: equal for documents that links of five-word Jaccard 0.8 or more join."""
+    (root,) = fresh(docs, "root")
+    found = near.roots(docs.select("text")).toDF(out, root)
+    return near.with_sid(docs, out).join(found, out, "left").withColumn(out, F.coalesce(root, out)).drop(root)
+
+
 def report(docs: DataFrame) -> DataFrame:
     return clusters(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

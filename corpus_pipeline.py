@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, line_dedup, mixing, near, quality
+from lodestone.llm import bpe, line_dedup, mixing, quality, simhash
 from lodestone.llm.common import columns, documents, fresh, labels, pattern, ready, scratch, tokenizer, written
 
 #: Documents that score less are rejected.
@@ -44,9 +44,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     It is the row of the least doc_id, of these the first by text; rows without an id come last.
     """
     ready(spark)
-    sid, group, n = fresh(docs, "sid", "group", "n")
-    root = near.roots(docs.select("text")).toDF(sid, group)
-    rows = near.with_sid(docs, sid).join(root, sid, "left").withColumn(group, F.coalesce(group, sid))
+    group, n = fresh(docs, "group", "n")
+    rows = simhash.similar(docs, group)
     one = Window.partitionBy(group).orderBy(F.col("doc_id").asc_nulls_last(), "text")
     return rows.withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).select(*columns(docs))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +62,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def located(df: DataFrame, file: str, row: str) -> DataFrame:
+    """Adds the name of each row's file and its number in it; a frame that is no table of files is written as one first."""
+
+    def place(d: DataFrame) -> DataFrame:
+        return d.select(*columns(d), d.metadataColumn("_metadata")["file_name"].alias(file), d.metadataColumn("_metadata")["row_index"].alias(row))
+
+    try:
+        return place(df)
+    except AnalysisException:
+        return place(written(df, "placed"))
+
+
 def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
@@ -101,7 +115,19 @@ def spread_key(doc_id: str | Column = "doc_id") -> Column:
     return F.md5(F.coalesce(col.cast("string"), F.lit("")))
 
 
-def numbered(df: DataFrame, group: str, key: str, ties: list[Column], out: str, digits: int = 2) -> DataFrame:
+#: Rows that one task numbers, about.
+NUMBERED = 1 << 17
+
+
+def digits_for(n: int, most: int = NUMBERED) -> int:
+    """How many hex digits cut ``n`` rows into parts of at most ``most``, about."""
+    d = 1
+    while n > most * 16**d:
+        d += 1
+    return d
+
+
+def numbered(df: DataFrame, group: str, key: str, ties: list[Column], out: str, digits: int) -> DataFrame:
     """Adds ``out``: 0, 1, 2, ... within each group in the order of the hex string ``key``.
 
     No group meets in one task: rows are numbered within (group, first digits of
@@ -121,6 +147,18 @@ def numbered(df: DataFrame, group: str, key: str, ties: list[Column], out: str,
     )
 
 
+def table_of(spark: SparkSession, rows: list[list], schema: str) -> DataFrame:
+    """A small table from Python values, as one literal of the plan."""
+    names = [f.name for f in T._parse_datatype_string(schema)]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ':')}>>".replace(",:", ","))))
+
+
+def file_number(name: Column) -> Column:
+    """The number in the name of a file that Spark wrote: files in this order are the partitions in theirs."""
+    return F.regexp_extract(name, r"part-(\d+)", 1).cast("int")
+
+
 def table_bytes(df: DataFrame, unknown: int) -> int:
     """The planner's estimate of a frame's bytes; ``unknown`` where it has none."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -5,27 +5,28 @@ source with integer weight w, the weights adding up to W, is released at
 floor((j-1)W/w) and due at ceil(jW/w); at every slot the released block with the
 earliest deadline goes next, so at any moment each source has had within one block
 of its share. As these times repeat after W slots, one period of the schedule is
-laid out once (W small integers) and every row finds its slot by arithmetic. The
-slots of sources that have run out are closed up, so the others go on in their
-proportions and no row is dropped.
+laid out once, W integers, and is a table that blocks join. The slots of sources that
+have run out are closed up by numbering the blocks that there are, round by round, so
+the others go on in their proportions and no row is dropped.
 
-Native: the rows meet only DataFrame functions. Null sources form a source of
+Native: the rows meet only DataFrame functions; the driver holds a row a source and a
+number a slot of the period, however many there are. Null sources form a source of
 their own, with the default weight; ties and repeated rows get places of their own
-in the md5 order of doc_id; other columns are carried along.
+in the md5 order of doc_id; other columns, whatever their names, are carried along;
+texts, however long, are not looked at; an empty table stays empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import columns, fresh, numbered, spread_key
+from lodestone.llm.common import columns, digits_for, fresh, located, numbered, spread_key, table_of
 
 PRODUCTION_WEIGHTS = {"src0": 4}
 PRODUCTION_BLOCK = 64
-#: Sources and slots of a period that the driver lays out; more is an error, not a cut.
-MOST_SOURCES = 500
-MOST_SLOTS = 20_000
+#: Blocks that a row of numbers unfolds to at a time; rounds whose sizes one task adds up.
+UNFOLDED, SUMMED = 4096, 4096
 
 
 def period(weights: list[int]) -> list[int]:
@@ -35,8 +36,6 @@ def period(weights: list[int]) -> list[int]:
     if not weights or min(weights) < 1:
         raise ValueError("weights are positive integers")
     total = sum(weights)
-    if total > MOST_SLOTS:
-        raise ValueError(f"the weights add up to {total}; scale them down to {MOST_SLOTS} at most")
     due = lambda i, j: -(-j * total // weights[i])
     waiting = [(0, i, 1) for i in range(len(weights))]
     released: list[tuple[int, int, int]] = []
@@ -56,54 +55,71 @@ def _source_key(source: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
 
 
+class Plan:
+    """What the rows' sources and their weights settle: shares, turns within a period, and each block's slot."""
+
+    def __init__(self, keys: DataFrame, key: str, weights: dict[str, int], default: int, block_rows: int):
+        spark = keys.sparkSession
+        # A row a source.
+        self.found = sorted((r[0], r[1]) for r in keys.groupBy(key).count().collect())
+        w = [int(weights.get(k[1:], default)) if k else default for k, _ in self.found]
+        self.total, laid = sum(w) or 1, period(w) if w else []
+        self.largest, self.blocks = max((n for _, n in self.found), default=0), [-(-n // block_rows) for _, n in self.found]
+        done, turns = [0] * len(w), []
+        for at, i in enumerate(laid):
+            turns.append([self.found[i][0], done[i], at])
+            done[i] += 1
+        self.turns = table_of(spark, turns, "k string, nth long, at long")
+        self.shares = table_of(spark, [[k, x, b] for (k, _), x, b in zip(self.found, w, self.blocks)], "k string, w long, blocks long")
+
+    def virtual(self, numbered: DataFrame) -> DataFrame:
+        """Of (k, w, block, ...): adds round and at, the block's place in the full schedule."""
+        return numbered.withColumn("nth", F.col("block") % F.col("w")).join(self.turns, ["k", "nth"]).withColumn("round", F.floor(F.col("block") / F.col("w"))).drop("nth")
+
+    def slots(self) -> DataFrame:
+        """(k, block, slot): the blocks that there are, numbered in the order of the schedule.
+
+        A round, at most a period's blocks, is numbered in one task; rounds begin where the sizes of those before add up.
+        """
+        pieces = self.shares.select("k", "w", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / UNFOLDED))).alias("c"))
+        first = F.col("c") * UNFOLDED
+        numbers = pieces.repartition("k", "c").select("k", "w", F.explode(F.sequence(first, F.least(F.col("blocks"), first + UNFOLDED) - 1)).alias("block"))
+        blocks = self.virtual(numbers)
+        sizes = blocks.groupBy("round").agg(F.count(F.lit(1)).alias("n")).withColumn("run", F.floor(F.col("round") / SUMMED))
+        before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+        # A row for SUMMED rounds.
+        runs = sizes.groupBy("run").agg(F.sum("n").alias("n")).select("run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+        within = Window.partitionBy("run").orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sizes.withColumn("earlier", F.coalesce(F.sum("n").over(within), F.lit(0))).join(runs, "run").select("round", (F.col("first") + F.col("earlier")).alias("start"))
+        place = F.row_number().over(Window.partitionBy("round").orderBy("at")) - 1
+        return blocks.withColumn("place", place).join(starts, "round").select("k", "block", (F.col("start") + F.col("place")).alias("slot"))
+
+
+def _ties(docs: DataFrame) -> Column:
+    return F.xxhash64(*[c for c, (_, kind) in zip(columns(docs), docs.dtypes) if "map<" not in kind and "variant" not in kind])
+
+
 def mixed(docs: DataFrame, weights: dict[str, int] | None = None, default: int = 1, block_rows: int = PRODUCTION_BLOCK, source: str = "source") -> DataFrame:
     """Adds block, release, deadline (in slots of the full schedule), slot (closed up,
     from 0), row_in_block and weight_share, or replaces columns of these names.
 
     Rows in the order (slot, row_in_block) are the mixture.
     """
-    weights = weights or {}
-    key, spread, place = fresh(docs, "key", "spread", "place")
+    key, spread, place, w, slot = fresh(docs, "key", "spread", "place", "w", "slot")
+    made = ("block", "release", "deadline", "slot", "row_in_block", "weight_share")
     keyed = docs.withColumn(key, _source_key(source)).withColumn(spread, spread_key())
-    found = sorted((r[0], r[1]) for r in keyed.groupBy(key).count().limit(MOST_SOURCES + 1).collect())
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    names = [k for k, _ in found]
-    w = [int(weights.get(k[1:], default)) if k else default for k in names]
-    total = sum(w) or 1
-    laid = period(w) if names else []
-    blocks = [-(-n // block_rows) for _, n in found]
-    places: list[list[int]] = [[] for _ in names]
-    for slot, i in enumerate(laid):
-        places[i].append(slot)
-    at = F.create_map(*[x for i, k in enumerate(names) for x in (F.lit(k), F.lit(i))]) if names else F.create_map(F.lit(""), F.lit(0))
-    ints = lambda xs: F.array(*[F.lit(int(x)).cast("long") for x in xs]) if xs else F.array(F.lit(0).cast("long"))
-    index = F.element_at(at, F.col(key))
-    weight, of_slot = F.element_at(ints(w), index + 1), F.array(*[ints(p) for p in places]) if names else F.array(ints([]))
-    ties = [F.xxhash64(*[c for c, (_, kind) in zip(columns(docs), docs.dtypes) if "map<" not in kind and "variant" not in kind])]
-    rows = numbered(keyed, key, spread, ties, place)
-    block = F.floor(F.col(place) / block_rows)
-    (virtual,) = fresh(rows, "virtual")
+    plan = Plan(keyed, key, weights or {}, default, block_rows)
+    rows = numbered(keyed, key, spread, [_ties(docs)], place, digits_for(plan.largest)).withColumn("block", F.floor(F.col(place) / block_rows))
+    rows = rows.join(plan.shares.select(F.col("k").alias(key), F.col("w").alias(w)), key)
+    rows = rows.join(plan.slots().withColumnsRenamed({"k": key, "slot": slot}), [key, "block"])
     rows = rows.withColumns({
-        "block": block.cast("long"),
-        virtual: (F.floor(block / weight) * total + F.element_at(F.element_at(of_slot, index + 1), (block % weight).cast("int") + 1)).cast("long"),
+        "release": F.floor(F.col("block") * plan.total / F.col(w)),
+        "deadline": F.ceil((F.col("block") + 1) * plan.total / F.col(w)),
+        "slot": F.col(slot).cast("long"),
+        "row_in_block": F.col(place) % block_rows,
+        "weight_share": F.col(w) / F.lit(float(plan.total)),
     })
-    # Of each source, the blocks that come before this slot: whole periods, then the part of one.
-    earlier = F.lit(0).cast("long")
-    for i in range(len(names)):
-        seen, prefix = 0, []
-        for s in laid:
-            prefix.append(seen)
-            seen += s == i
-        done = F.floor(F.col(virtual) / total) * w[i] + F.element_at(ints(prefix), (F.col(virtual) % total).cast("int") + 1)
-        earlier = earlier + F.least(F.lit(blocks[i]).cast("long"), done.cast("long"))
-    return rows.withColumns({
-        "release": F.floor(F.col("block") * total / weight).cast("long"),
-        "deadline": F.ceil((F.col("block") + 1) * total / weight).cast("long"),
-        "slot": earlier,
-        "row_in_block": (F.col(place) % block_rows).cast("long"),
-        "weight_share": weight / F.lit(float(total)),
-    }).drop(key, spread, place, virtual)
+    return rows.select(*[c for c, n in zip(columns(docs), docs.columns) if n.lower() not in made], *made)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -112,14 +128,45 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def in_order(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int = PRODUCTION_BLOCK, parts: int | None = None) -> DataFrame:
-    """The documents themselves, range-partitioned and sorted by their place in the mixture.
+    """The documents themselves, partitioned and sorted by their place in the mixture.
 
-    Written as files, part after part, they are the mixture.
+    Written as files, part after part, they are the mixture. Places are settled over
+    ids and hashes alone. Of each source, the first row of each partition is noted; with
+    these notes a row finds its partition, and documents shuffle once.
     """
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = docs.select(F.struct(*columns(docs)).alias("held"), "doc_id", "source")
-    out = mixed(held, weights, block_rows=block_rows)
-    return out.repartitionByRange(parts, "slot", "row_in_block").sortWithinPartitions("slot", "row_in_block").select("held.*")
+    file, row = fresh(docs, "file", "row")
+    docs = located(docs, file, row)
+    own = docs.drop(file, row)
+    # The order of a source's rows; the last two tell repeated rows apart.
+    by = [spread_key().alias("spread"), _ties(own).alias("tie"), F.xxhash64(file).alias("file"), F.col(row).alias("row")]
+    held = docs.select(F.struct(*columns(own)).alias("held"), _source_key("source").alias("k"), *by)
+    slim, by = held.drop("held"), ["spread", "tie", "file", "row"]
+    plan = Plan(slim, "k", weights or {}, 1, block_rows)
+    if not plan.found:
+        return own
+    digits = digits_for(parts, 1)
+    cell = F.substring("spread", 1, digits)
+    part = F.floor(F.col("slot") * parts / F.lit(sum(plan.blocks))).cast("int")
+    firsts = plan.slots().groupBy("k", part.alias("part")).agg((F.min("block") * block_rows).alias("place"))
+    placed = numbered(slim, "k", "spread", [F.col(c) for c in by[1:]], "place", digits_for(plan.largest))
+    notes = placed.where(F.col("place") % block_rows == 0).join(firsts, ["k", "place"])
+    own = notes.groupBy("k", cell.alias("cell")).agg(F.collect_list(F.struct(*by, "part", "place")).alias("own"), F.max(F.struct("part", "place")).alias("last"))
+    every = plan.shares.select("k", F.explode(F.sequence(F.lit(0), F.lit(16**digits - 1))).alias("c")).select("k", F.lower(F.lpad(F.hex("c"), digits, "0")).alias("cell"))
+    before = Window.partitionBy("k").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for a source's sixteenth, 256th, ...: as many as partitions, or up to sixteen times that.
+    cells = every.join(own, ["k", "cell"], "left").select("k", "cell", "own", F.max("last").over(before).alias("base"))
+    passed = F.filter("own", lambda x: F.struct(*[x[c].alias(c) for c in by]) <= F.struct(*[F.col(c).alias(c) for c in by]))
+    found = F.array_max(F.array_compact(F.concat(F.array("base"), F.transform(F.coalesce(passed, F.array()), lambda x: F.struct(x["part"].alias("part"), x["place"].alias("place"))))))
+    rows = held.withColumn("cell", cell).join(cells, ["k", "cell"]).select("held", "k", *by, found.alias("at"))
+    rows = rows.select("held", "k", *by, F.col("at.part").alias("part"), F.col("at.place").alias("first")).repartitionById(parts, "part")
+    place = F.col("first") + F.row_number().over(Window.partitionBy("part", "k").orderBy(*by)) - 1
+    rows = rows.withColumn("place", place)
+    # A number for each slot of the period, as laid out: a join that moves no row.
+    turns = plan.turns.join(plan.shares.select("k", "w"), "k").groupBy("k", "w").agg(F.sort_array(F.collect_list(F.struct("nth", "at")))["at"].alias("ats"))
+    rows = rows.join(F.broadcast(turns), "k").withColumn("block", F.floor(F.col("place") / block_rows))
+    round_, at = F.floor(F.col("block") / F.col("w")), F.get("ats", (F.col("block") % F.col("w")).cast("int"))
+    return rows.select("held", round_.alias("round"), at.alias("at"), (F.col("place") % block_rows).alias("nth")).sortWithinPartitions("round", "at", "nth").select("held.*")
 
 
 def oracle_sql(block_rows: int = PRODUCTION_BLOCK) -> str:

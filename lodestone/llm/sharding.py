@@ -7,7 +7,8 @@ child's weight moves documents only into or out of that child. Every expression
 built in; rows shuffle only to number the slots.
 
 Null text has size 1 and crc32 0; a null doc_id is placed as the empty string;
-repeated rows share a shard and get slots of their own; other columns are left out.
+repeated rows share a shard and get slots of their own; of very long texts only size
+and checksum go on; other columns are left out; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import numbered, spread_key, text_or_empty
+from lodestone.llm.common import digits_for, numbered, spread_key, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -81,7 +82,7 @@ def shards(docs: DataFrame, n_shards: int = 8, grown: int | None = 9, layout: No
         (place(key, tree(grown)) if grown else F.lit(None)).cast("int").alias("grown_shard"),
         spread_key().alias("spread"),
     )
-    out = numbered(placed, "shard", "spread", [F.col("doc_id"), F.col("text_crc32")], "slot")
+    out = numbered(placed, "shard", "spread", [F.col("doc_id"), F.col("text_crc32")], "slot", digits_for(docs.count()))
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 

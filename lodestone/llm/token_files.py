@@ -1,14 +1,16 @@
 """Token ids in ORC files: stripes, integer run-length encoding, row indexes and Bloom filters on doc_id.
 
 Documents are range-partitioned by doc_id, sorted and tokenized in that order, and
-each partition becomes one file of columns doc_id and ids; file names sort as the
-ids do. ORC encodes ids by its integer run-length encoding and keeps, per stripe
-and per row group, minimum, maximum and a Bloom filter of doc_id, so readers take
-stripes in parallel and skip those that cannot hold an id.
-
-Null text is empty, so its document holds the end id alone; repeated rows each have
-their place, ties in doc_id going by their ids; null doc_ids come first; an empty
-table writes files without rows.
+each partition becomes one file of columns doc_id, row (the place in the file) and
+ids; files in the order of their numbers hold the ids in theirs. ORC encodes ids by its integer run-length encoding
+and keeps, per stripe and per row group, minimum, maximum and a Bloom filter of doc_id,
+so readers take stripes in parallel and skip those that cannot hold an id.
+
+Null text is empty, so its document holds the end id alone; very long texts are
+tokenized whole; repeated rows each have their place; ties in doc_id go by a hash of
+the text, and by it a single id or null that many rows share is spread over files;
+null doc_ids come first; other columns are left out; an empty table writes files
+without rows.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import scratch
+from lodestone.llm.common import file_number, scratch, written
 from lodestone.llm.pieces import Store, gather, with_ids
 
 END_ID = 2
 CHUNK = 1 << 15
-SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), True))])
+SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("row", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), True))])
 
 
 @lru_cache(maxsize=2)
@@ -70,18 +72,20 @@ def _store(path: str) -> Store:
 
 
 def encode(df: DataFrame, path: str, end_id: int | None = END_ID) -> DataFrame:
-    """doc_id, text -> doc_id, ids by the tokenizers file at ``path``, then the end id. Row order is kept."""
+    """doc_id, text -> doc_id, row (its number in the partition) and ids by the tokenizers file at ``path``, then the end id. Row order is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
         for b in with_ids(batches, "text", "ids", _store(path)):
+            row = pa.array(np.arange(done, done + b.num_rows))
+            done += b.num_rows
+            ids = b.column("ids")
             if end_id is not None:
-                ids = b.column("ids")
                 offsets = ids.offsets.to_numpy().astype(np.int64)
                 offsets -= offsets[0]
                 flat = np.insert(ids.flatten().to_numpy(), offsets[1:], end_id)
                 ids = pa.ListArray.from_arrays(pa.array((offsets + np.arange(len(offsets))).astype(np.int32)), pa.array(flat, pa.int32()))
-                b = pa.RecordBatch.from_arrays([b.column("doc_id"), ids], names=["doc_id", "ids"])
-            yield b
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), row, ids], names=SCHEMA.names)
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
@@ -89,7 +93,8 @@ def encode(df: DataFrame, path: str, end_id: int | None = END_ID) -> DataFrame:
 def write(docs: DataFrame, tokenizer: str, out: str, end_id: int | None = END_ID, parts: int | None = None) -> str:
     """Writes the documents' ids as ORC files in ascending doc_id order at ``out``."""
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    tie = F.xxhash64("text")
+    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
     (
         encode(ordered, tokenizer, end_id).write.option("compression", "zstd").option("orc.create.index", "true")
         .option("orc.row.index.stride", "1000").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(out)
@@ -115,7 +120,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at -= at[0]
         sums = [zlib.crc32(raw[at[i] : at[i + 1]]) for i in range(len(ids))]
         n = pa.array(np.diff(at) // 4, pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("file"), n, pa.array(sums, pa.int64())], names=["doc_id", "file", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "file", "row")), n, pa.array(sums, pa.int64())], names=["doc_id", "file", "row", "n_tokens", "ids_crc32"])
 
 
 def offsets(spark: SparkSession, path: str) -> DataFrame:
@@ -123,13 +128,13 @@ def offsets(spark: SparkSession, path: str) -> DataFrame:
 
     A document's start is the ids of earlier files (a row a file) plus those before it in its own.
     """
-    rows = read(spark, path).select("doc_id", "ids", F.col("_metadata.file_name").alias("file"))
-    schema = "doc_id long, file string, n_tokens long, ids_crc32 long"
-    rows = rows.mapInArrow(_sums, schema)
+    rows = read(spark, path).select("doc_id", "row", "ids", F.col("_metadata.file_name").alias("file"))
+    # Written, so that the ids are read once: a few numbers a document.
+    rows = written(rows.mapInArrow(_sums, "doc_id long, file string, row long, n_tokens long, ids_crc32 long"), "sums")
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("size"))
-    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy(file_number(F.col("file"))).rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
-    within = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     return rows.join(files, "file").select(
         "doc_id", (F.col("before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).alias("start"), "n_tokens", "ids_crc32"
     )

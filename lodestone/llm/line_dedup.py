@@ -8,8 +8,10 @@ documents are then counted exactly and the one that keeps its lines is chosen.
 
 The filters have about one bit to eight bytes of input, MOST_BITS at most; past
 that, more lines are suspected without need and shuffle, and results stay the same.
-Null or empty text is one empty line; repeated rows of a doc_id count as one
-document; null doc_ids count as one document, below all others.
+Null or empty text is one empty line; very long texts are read whole, line by line;
+repeated rows of a doc_id count as one document; a row with a null doc_id is a
+document of its own, known by its text and below all others; other columns, whatever
+their names, are carried along; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -22,11 +24,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import NULL_ID_FIRST, columns, fresh, mapped, table_bytes
+from lodestone.llm.common import NULL_ID_FIRST, columns, fresh, mapped, table_bytes, written
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 SPACE = b" \t\n\x0b\x0c\r"
@@ -137,6 +139,12 @@ def _in(packed: np.ndarray, places: np.ndarray) -> np.ndarray:
     return ((packed[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1).astype(bool).all(axis=1)
 
 
+def known_by(doc_id: str = "doc_id") -> Column:
+    """A document's number: its doc_id; without one, a number by its text in the lowest quarter of longs, where no ids are expected."""
+    own = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(NULL_ID_FIRST)
+    return F.coalesce(F.col(doc_id).cast("long"), own)
+
+
 def repeats(docs: DataFrame, least: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, doc_id: str = "doc_id") -> DataFrame:
     """id, keys array<binary>: the 128-bit hashes of the keys whose lines each document loses.
 
@@ -158,8 +166,9 @@ def repeats(docs: DataFrame, least: int = LEAST_CHARS, least_docs: int = LEAST_D
                     ids += [i] * int(keep.sum())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["id", "key"])
 
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID_FIRST)).alias("id"), "text")
-    held = rows.mapInArrow(suspects, "id long, key binary").groupBy("key", "id").agg(F.count(F.lit(1)).alias("n")).select("key", "id")
+    rows = docs.select(known_by(doc_id).alias("id"), "text")
+    # Written, as it is read twice: the texts are not.
+    held = written(rows.mapInArrow(suspects, "id long, key binary").groupBy("key", "id").agg(F.count(F.lit(1)).alias("n")).select("key", "id"), "suspects")
     often = held.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("id").alias("keeper")).where(F.col("docs") >= least_docs)
     lost = held.join(often, "key").where(F.col("id") != F.col("keeper"))
     return lost.groupBy("id").agg(F.collect_list("key").alias("keys"))
@@ -173,7 +182,7 @@ def dedup(docs: DataFrame, least: int = LEAST_CHARS, least_docs: int = LEAST_DOC
     docs = docs.drop(*counts)
     names = fresh(docs, "id", "keys")
     lost = repeats(docs, least, least_docs).withColumnsRenamed({"id": names[0], "keys": names[1]})
-    rows = docs.withColumn(names[0], F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID_FIRST))).join(lost, names[0], "left").drop(names[0])
+    rows = docs.withColumn(names[0], known_by()).join(lost, names[0], "left").drop(names[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

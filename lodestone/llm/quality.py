@@ -1,18 +1,23 @@
 """Quality classifier by supervised subword embeddings.
 
 A document is the mean of the vectors of its features: its words, their character
-n-grams, and for a word that repeats the one before it a mark, all hashed into one
-table of vectors. A softmax layer over the mean gives the two classes. Vectors and
-layer are trained together by stochastic gradient descent in numpy, on the sample
-of training.py; the model is then two numbers a bucket, summed over whole texts.
+n-grams and its word bigrams, all hashed into one table of vectors. A softmax layer
+over the mean gives the two classes. Vectors and layer are trained together by
+stochastic gradient descent in numpy, on the sample of training.py; the model is then
+two numbers a bucket, summed over whole texts.
+
+A bigram's hash is that of the difference of its words' hashes, so every bigram of a
+word and itself has one bucket, whose vector is learned like any other.
 
 Null and empty texts have no features and score by the bias; texts of any length are
-scored whole; repeated rows score alike. Scores are deterministic for a given table.
+scored whole; repeated rows score alike; other columns, whatever their names, are
+carried along, but a column of the score's name is replaced; an empty table has no
+scores, and without labels of both kinds the score is a constant. Scores are
+deterministic for a given table.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,6 +25,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +34,7 @@ from lodestone.llm.common import mapped
 from lodestone.llm.pieces import gather
 from lodestone.llm.training import HELD_OUT, fold, sample, sigmoid
 
-BITS, SIZE, GRAMS = 15, 8, (1, 2, 3)
+BITS, SIZE, GRAMS = 16, 8, (1, 2, 3)
 BUCKETS = 1 << BITS
 EPOCHS, BATCH, RATE, LEAST_STEPS = 6, 32, 2.0, 500
 #: Labelled documents it learns from, characters of them at most.
@@ -37,32 +43,44 @@ SPLIT = 0.7
 MOST_KEPT = 400_000
 #: Words whose features are made at a time while training.
 WORDS = 20_000
-REPEAT = zlib.crc32(b"\0repeat") % BUCKETS
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _bucket(code: np.ndarray) -> np.ndarray:
+    return (code * SPREAD >> np.uint64(64 - BITS)).astype(np.uint16)
+
+
+def hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of each word and of its n-grams of bytes, end to end, and how many each word has.
+    """The buckets of each word and of its n-grams of code points, end to end, and how many each word has.
 
-    Words stand between marks, which count as bytes of their n-grams.
+    Words stand between marks, which count as characters of their n-grams.
     """
-    raw = [f"<{w}>".encode() for w in words]
+    raw = [f"<{w}>" for w in words]
     n = np.fromiter(map(len, raw), np.int64, len(raw))
-    flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+    flat = np.frombuffer("".join(raw).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     word = np.repeat(np.arange(len(raw)), n)
     left = np.repeat(np.cumsum(n), n) - np.arange(len(flat))
-    where, codes = [np.arange(len(raw))], [np.fromiter(map(zlib.crc32, raw), np.uint64, len(raw))]
+    where, codes = [np.arange(len(raw))], [hashes(words)]
     code = np.zeros(len(flat), np.uint64)
     for g in range(1, max(GRAMS) + 1):
         shifted = np.concatenate([flat[g - 1 :], np.zeros(min(g - 1, len(flat)), np.uint64)])
-        code = code * np.uint64(257) + shifted + np.uint64(1)
+        code = code * np.uint64(0x110000) + shifted + np.uint64(1)
         if g in GRAMS:
             whole = left >= g
             where.append(word[whole])
             codes.append(code[whole])
     at, code = np.concatenate(where), np.concatenate(codes)
-    bucket = (code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int64)
     order = np.argsort(at, kind="stable")
-    return bucket[order].astype(np.uint16), np.bincount(at, minlength=len(raw))
+    return _bucket(code)[order], np.bincount(at, minlength=len(raw))
+
+
+def bigrams(h: np.ndarray) -> np.ndarray:
+    """The buckets of the bigrams of words with the hashes ``h``, in order."""
+    return _bucket(h[1:] - h[:-1])
 
 
 @dataclass
@@ -73,7 +91,7 @@ class Model:
     def __post_init__(self):
         self.known: dict[str, int] = defaultdict()
         self.known.default_factory = self.known.__len__
-        self.sums = np.empty((0, 2))
+        self.sums, self.hashes = np.empty((0, 2)), np.empty(0, np.uint64)
 
     def __reduce__(self):
         return Model, (self.weight, self.bias)
@@ -85,6 +103,7 @@ class Model:
         flat, n = features(new)
         total = np.add.reduceat(self.weight[flat], np.cumsum(n) - n)
         self.sums = np.concatenate([self.sums, np.stack([total, n], 1)])
+        self.hashes = np.concatenate([self.hashes, hashes(new)])
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if len(self.known) > MOST_KEPT:
@@ -95,9 +114,8 @@ class Model:
         out = np.full(len(texts), self.bias)
         for i, k in enumerate(at):
             if len(k):
-                repeats = int((k[1:] == k[:-1]).sum())
                 total, n = self.sums[k].sum(0)
-                out[i] += (total + repeats * self.weight[REPEAT]) / (n + repeats)
+                out[i] += (total + self.weight[bigrams(self.hashes[k])].sum()) / (n + len(k) - 1)
         return sigmoid(out)
 
 
@@ -111,18 +129,18 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7) -> Model:
         for w in t.split():
             place[w]
     words = iter(place)
-    made = [features(part) for part in iter(lambda: list(islice(words, WORDS)), [])]
-    flat, many = (np.concatenate([m[i] for m in made] or [np.empty(0, np.int64)]) for i in (0, 1))
+    made = [(*features(part), hashes(part)) for part in iter(lambda: list(islice(words, WORDS)), [])]
+    flat, many, hashed = (np.concatenate([m[i] for m in made] or [np.empty(0, np.int64)]) for i in (0, 1, 2))
     del made
     ends = np.cumsum(many)
     cells, shares = [], []  # two and four bytes a feature, as these are most of the memory
     for t in texts:
-        ws = t.split()
-        c = Counter(map(place.__getitem__, ws))
+        ws = np.fromiter(map(place.__getitem__, t.split()), np.int64)
+        c = Counter(ws.tolist())
         at = np.fromiter(c, np.int64, len(c))
         found = gather(flat, ends[at] - many[at], ends[at])
         n = np.bincount(found, np.repeat(np.fromiter(c.values(), np.float64, len(c)), many[at]), BUCKETS)
-        n[REPEAT] += sum(map(str.__eq__, ws, islice(ws, 1, None)))
+        n += np.bincount(bigrams(hashed[ws]), minlength=BUCKETS)
         k = np.flatnonzero(n)
         cells.append(k.astype(np.uint16))
         shares.append((n[k] / max(n.sum(), 1)).astype(np.float32))

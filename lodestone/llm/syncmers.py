@@ -7,18 +7,26 @@ them. Whether a run is chosen depends on its own words alone, so an edit moves n
 anchor elsewhere in the text. A fingerprint is the text's anchors in order, eight
 hex digits each; the likeness of two is the Dice share of their distinct anchors.
 
+One run in four is chosen (2 of k - s + 1), so a fingerprint is about a third as long
+as its text.
+
 Null text is an empty one; a text without words has the empty fingerprint, and two
-empty fingerprints are alike (1.0). Very long texts cost time in proportion.
+empty fingerprints are alike (1.0). Very long texts cost time in proportion; repeated
+rows have rows of their own, next to each other; other columns are left out; an empty
+table has no rows, and of a table of one row that row is its own next.
 """
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import NULL_ID_FIRST, let, text_or_empty
 
-K, S = 5, 2
+K, S = 9, 2
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -79,6 +87,20 @@ def positional_matches(left: DataFrame, right: DataFrame, k: int = K, s: int = S
     )
 
 
+def _ranged(rows: DataFrame, ends: list[int]) -> DataFrame:
+    """Adds own, how many of the sorted ``ends`` are below ``id``, and run, those about it.
+
+    An id passes whole runs of ends by their last, then the ends of one run.
+    """
+    wide = math.isqrt(len(ends)) + 1
+    runs = [ends[i : i + wide] for i in range(0, len(ends), wide)] or [[]]
+    fixed = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
+    below = lambda x: F.size(F.filter(x, lambda e: e < F.col("id")))
+    rows = rows.withColumn("passed", below(fixed([r[-1] for r in runs[:-1]], "array<bigint>")))
+    rows = rows.withColumn("run", F.get(fixed(runs, "array<array<bigint>>"), F.col("passed")))
+    return rows.withColumn("own", F.col("passed") * wide + below("run")).drop("passed")
+
+
 def with_next(docs: DataFrame, derived: dict[str, Column], parts: int | None = None) -> DataFrame:
     """doc_id, text, the derived columns of text, and next_<name> for text and each of them.
 
@@ -86,18 +108,19 @@ def with_next(docs: DataFrame, derived: dict[str, Column], parts: int | None = N
     Documents are dealt to id ranges whose upper ends are ids in the table; the
     document at each upper end is also sent, as a guest, to the range above, so
     each range finds its own neighbours and texts shuffle once. Equal ids go by
-    text, null ids last.
+    text; null ids come last, by hashes of their texts, so they fall into ranges too.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = parts or 4 * n
-    ided = docs.select(F.col("doc_id"), F.coalesce("doc_id", F.lit(NULL_ID_FIRST)).alias("id"), text_or_empty().alias("text"))
-    shares = F.array(*[F.lit((i + 1) / parts) for i in range(parts)])
-    found, top = ided.agg(F.percentile_approx("id", shares, 10 * parts), F.max("id")).first()
-    ends = sorted({*(found or []), *([] if top is None else [top])}) or [0]
-    upper = F.array(*[F.lit(x).cast("long") for x in ends])
-    own = F.size(F.filter(upper, lambda e: e < F.col("id")))
-    above = F.when(F.array_contains(upper, F.col("id")), (F.col("own") + 1) % len(ends))
-    rows = ided.withColumn("own", own).withColumn("part", F.explode(F.array_compact(F.array(F.col("own"), above))) if len(ends) > 1 else F.col("own"))
+    own_number = F.xxhash64(text_or_empty()).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(NULL_ID_FIRST)
+    ided = docs.select(F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), own_number).alias("id"), text_or_empty().alias("text"))
+    shares = ", ".join(f"{(i + 1) / parts!r}D" for i in range(parts))
+    found = ided.agg(F.expr(f"percentile_approx(id, array({shares}), {10 * parts})")).first()[0] or []
+    # Quantiles are doubles: the ends are the greatest ids up to them, and the greatest of all.
+    ends = sorted(r[1] for r in _ranged(ided, sorted({*found})).groupBy("own").agg(F.max("id")).collect()) or [0]
+    rows = _ranged(ided, ends)
+    above = F.when(F.array_contains("run", F.col("id")), (F.col("own") + 1) % len(ends))
+    rows = rows.withColumn("part", F.explode(F.array_compact(F.array(F.col("own"), above))) if len(ends) > 1 else F.col("own")).drop("run")
     rows = rows.repartition(n, "part").withColumns({"guest": F.col("own") != F.col("part"), **derived})
     order = Window.partitionBy("part").orderBy("guest", F.col("id").desc(), "text")
     first = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

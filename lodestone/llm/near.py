@@ -6,7 +6,7 @@ corpus is first cut into blocks. A text is the set of its hashed shingles, and t
 of equal sets meet as one, so copies are never paired. In any one order of all
 shingles, two sets of similarity LEAST or more share one among the first
 n - ceil(LEAST n) + 1 of each; the sets that put a shingle forward are its block.
-Within blocks, pairs whose SimHashes are further apart than BITS are pruned, large
+Within blocks, pairs whose SimHashes are further apart than BITS are pruned, in large
 blocks by walking the trie of their fingerprints against itself, and what is left is
 confirmed on all shingles.
 
@@ -14,8 +14,9 @@ The order is that of the hashes, but shingles that many sets put forward come la
 common passages make no blocks: their places in a bitmap of a fixed size are sent to
 all tasks, and as the bitmap decides for every text alike, a false mark costs nothing.
 A large block is mostly a group of near copies: its sets are first compared with the
-least of them alone, and then only sets that no link joins yet, dealt to tasks by
-pairs of buckets, so that no block meets in one task.
+least of them alone. Blocks that this does not join whole are dealt to tasks by pairs
+of buckets, with all their shingles, and each task returns a spanning forest of the
+links it finds, never the pairs.
 
 A text of up to SHINGLE words is one shingle; texts without words are equal. Links
 are between sets, so ids play no part. Null is an empty text; very long texts cost
@@ -37,7 +38,7 @@ from pyspark.sql import types as T
 
 from lodestone.llm.common import mapped, written
 from lodestone.llm.components import components
-from lodestone.llm.trie import close_pairs
+from lodestone.llm.trie import close_pairs, merge
 
 SHINGLE, SEED = 5, 42
 #: The least similarity, as a fraction.
@@ -45,8 +46,12 @@ LEAST = (4, 5)
 #: The most bits in which similar sets differ, of 64 and of 128: five deviations beyond the ten and twenty expected
 #: at LEAST. Sets of fewer shingles than SURE are not pruned by bits.
 BITS, SURE = (24, 40), 16
-#: Sets of a block that are all compared at once; sets of a larger block that one task compares.
-MOST_MET, BUCKET = 8, 1024
+#: Sets of a block that are all compared at once; shingles of the sets of a larger block that a task compares with as many.
+MOST_MET, BUCKET = 8, 1 << 18
+#: Pairs, or words of bits, that a step takes together.
+CHECKED = 1 << 20
+#: Prefixes' lengths over which frequent shingles are counted.
+WIDE = 2
 #: The bitmap of frequent shingles: its size, its parts, and how many shingles it marks at most.
 HOT_BITS, HOT_PART, MOST_HOT = 1 << 26, 1 << 20, 1 << 22
 
@@ -78,13 +83,13 @@ def simhash(h: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(h)).view(">i8").astype(np.int64)
 
 
-def prefix(h: np.ndarray, hot: np.ndarray | None) -> np.ndarray:
+def prefix(h: np.ndarray, hot: np.ndarray | None, times: int = 1) -> np.ndarray:
     n = len(h) - -(-LEAST[0] * len(h) // LEAST[1]) + 1
     if hot is not None and len(h):
         at = h & np.uint64(HOT_BITS - 1)
         late = (hot[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         h = np.concatenate([h[~late], h[late]])
-    return h[:n].view(np.int64)
+    return h[: times * n].view(np.int64)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
@@ -92,11 +97,14 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 
 
 def hot_shingles(docs: DataFrame) -> np.ndarray | None:
-    """The bitmap of shingles that more than MOST_MET texts put forward; of the most frequent, if they are too many for it."""
+    """The bitmap of shingles that more than MOST_MET texts put forward; of the most frequent, if they are too many for it.
+
+    Counted are as many shingles again as a text puts forward, as those that are moved to the end make room for them.
+    """
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([prefix(shingles(x.as_py()), None) for x in b.column("text")] or [np.empty(0, np.int64)]))], names=["h"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([prefix(shingles(x.as_py()), None, WIDE) for x in b.column("text")] or [np.empty(0, np.int64)]))], names=["h"])
 
     counts = docs.select("text").mapInArrow(heads, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_MET)
     often = written(counts.select("h", F.floor(F.log2("n")).cast("int").alias("level")), "often")
@@ -169,22 +177,40 @@ def first_pairs(met: DataFrame) -> DataFrame:
 
 
 def _close(t: pa.Table) -> pa.Table:
-    """Pairs of a task: of sets of unlike labels, and of its two buckets if it has two, that may be near."""
+    """Links of a task: a spanning forest of its pairs of sets, of its two buckets if it has two, that are near."""
     v = {c: t.column(c).to_numpy() for c in ("sid", "pos", "n", "fp", "fq", "label", "u")}
     v |= {c: v[c].view(np.uint64) for c in ("fp", "fq")}
-    same = t.column("x")[0].as_py() == t.column("y")[0].as_py()
-    left = np.arange(len(t)) if same else np.flatnonzero(v["u"] == t.column("x")[0].as_py())
-    right = left if same else np.flatnonzero(v["u"] == t.column("y")[0].as_py())
-    out = []
+    x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
+    left, right = np.flatnonzero(v["u"] == x), np.flatnonzero(v["u"] == y)
+    # The shingles that two of these sets have, as bits.
+    all_ = t.column("all").combine_chunks()
+    flat, owner = all_.flatten().to_numpy(), np.repeat(np.arange(len(t)), all_.value_lengths().to_numpy())
+    value, at, many = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.cumsum(many > 1) - 1
+    shared = np.flatnonzero(many[at] > 1)
+    held = np.zeros((len(t), int((many > 1).sum()) // 64 + 1), np.uint64)
+    np.bitwise_or.at(held, (owner[shared], place[at[shared]] >> 6), np.uint64(1) << (place[at[shared]] & 63).astype(np.uint64))
+    label = np.unique(v["label"], return_inverse=True)[1]
+    root, made = np.arange(int(label.max()) + 1), []
 
     def keep(i: np.ndarray, j: np.ndarray) -> None:
-        n, m = v["n"][i], v["n"][j]
-        fits = (v["label"][i] != v["label"][j]) & (LEAST[1] * np.minimum(n, m) >= LEAST[0] * np.maximum(n, m))
-        fits &= sum(LEAST) * np.minimum(n - v["pos"][i], m - v["pos"][j]) >= LEAST[0] * (n + m)
-        far = np.bitwise_count(v["fp"][i] ^ v["fp"][j]).astype(int) + np.bitwise_count(v["fq"][i] ^ v["fq"][j])
-        fits &= (far <= BITS[1]) | (np.minimum(n, m) < SURE)
-        i, j = i[fits], j[fits]
-        out.append(np.stack([np.minimum(v["sid"][i], v["sid"][j]), np.maximum(v["sid"][i], v["sid"][j])]))
+        nonlocal root
+        for k in range(0, len(i), CHECKED):
+            p, q = i[k : k + CHECKED], j[k : k + CHECKED]
+            n, m = v["n"][p], v["n"][q]
+            fits = (root[label[p]] != root[label[q]]) & (LEAST[1] * np.minimum(n, m) >= LEAST[0] * np.maximum(n, m))
+            fits &= sum(LEAST) * np.minimum(n - v["pos"][p], m - v["pos"][q]) >= LEAST[0] * (n + m)
+            bits = np.bitwise_count(v["fp"][p] ^ v["fp"][q]).astype(int) + np.bitwise_count(v["fq"][p] ^ v["fq"][q])
+            fits &= (bits <= BITS[1]) | (np.minimum(n, m) < SURE)
+            p, q = p[fits], q[fits]
+            for c in range(0, len(p), max(1, CHECKED // held.shape[1])):
+                a, b = p[c : c + max(1, CHECKED // held.shape[1])], q[c : c + max(1, CHECKED // held.shape[1])]
+                both = np.bitwise_count(held[a] & held[b]).sum(1, dtype=np.int64)
+                near = sum(LEAST) * both >= LEAST[0] * (v["n"][a] + v["n"][b])
+                a, b = a[near], b[near]
+                _, first = np.unique(np.stack([root[label[a]], root[label[b]]]), axis=1, return_index=True)
+                made.append(np.stack([v["sid"][a[first]], v["sid"][b[first]]]))
+                root = merge(root, label[a[first]], label[b[first]])
 
     def members(side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         side = side[np.argsort(v["fp"][side], kind="stable")]
@@ -192,45 +218,54 @@ def _close(t: pa.Table) -> pa.Table:
         return side, prints, np.append(start, len(side))
 
     (a, fa, sa), (b, fb, sb) = members(left), members(right)
-    pairs = [(i, j) for i, j in close_pairs(fa, fb, BITS[0], same)]
-    equal = np.arange(len(fa)) if same else np.flatnonzero(np.isin(fa, fb))
-    if same:
-        pairs.append((equal, equal))
-    for i, j in pairs:  # of fingerprints; now of the sets that have them
-        many = (sa[i + 1] - sa[i]) * (sb[j + 1] - sb[j])
-        of = np.repeat(np.arange(len(i)), many)
-        k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+
+    def met() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of fingerprints within the budget: equal ones of one side, and those that the trie walk finds."""
+        if x == y:
+            yield np.arange(len(fa)), np.arange(len(fa))
+        yield from close_pairs(fa, fb, BITS[0], x == y)
+
+    for i, j in met():  # now of the sets that have them
+        count = (sa[i + 1] - sa[i]) * (sb[j + 1] - sb[j])
+        of = np.repeat(np.arange(len(i)), count)
+        k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         wide = (sb[j + 1] - sb[j])[of]
         keep(a[sa[i][of] + k // wide], b[sb[j][of] + k % wide])
     short = [s[v["n"][s] < 2 * SURE] for s in (left, right)]  # bits do not prune pairs with so few shingles
-    keep(np.repeat(short[0], len(short[1])), np.tile(short[1], len(short[0])))
-    made = np.unique(np.concatenate(out, 1), axis=1)
-    made = made[:, made[0] != made[1]]
-    return pa.table({"a": pa.array(made[0], pa.int64()), "b": pa.array(made[1], pa.int64())})
+    for i in short[0]:
+        keep(np.full(len(short[1]), i), short[1])
+    out = np.concatenate([np.empty((2, 0), np.int64), *made], 1)
+    return pa.table({"a": pa.array(out.min(0)), "b": pa.array(out.max(0))})
 
 
-def other_pairs(met: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs of large blocks that may be near and that no link joins yet."""
+def other_links(docs: DataFrame, met: DataFrame, joined: DataFrame) -> DataFrame | None:
+    """Links within large blocks between sets that none joins yet; None if no such block is left."""
     large = met.where(F.col("g") > MOST_MET).join(joined, "sid", "left").withColumn("label", F.coalesce("root", "sid")).drop("root")
-    mixed = large.groupBy("h").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("h")
-    buckets = F.ceil(F.col("g") / BUCKET).cast("int")
-    rows = large.join(mixed, "h").withColumn("s", buckets).withColumn("u", F.pmod(F.xxhash64("sid"), F.col("s")).cast("int"))
-    dealt = rows.withColumn("v", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    dealt = dealt.select("h", F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"), "u", "sid", "pos", "n", "fp", "fq", "label")
-    return written(dealt.groupBy("h", "x", "y").applyInArrow(_close, "a long, b long").distinct(), "pairs")
+    mixed = large.groupBy("h").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.sum("n").alias("size")).where("l <> m").select("h", "size")
+    rows = written(large.join(mixed, "h"), "mixed")
+    if rows.isEmpty():
+        return None
+    buckets = rows.withColumn("s", F.ceil(F.col("size") / BUCKET).cast("int")).withColumn("u", F.pmod(F.xxhash64("sid"), F.col("s")).cast("int"))
+    dealt = buckets.withColumn("v", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).join(whole(docs, rows.select("sid").distinct()), "sid")
+    dealt = dealt.select("h", F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"), "u", "sid", "pos", "n", "fp", "fq", "label", "all")
+    return written(dealt.groupBy("h", "x", "y").applyInArrow(_close, "a long, b long").distinct(), "links")
 
 
-def confirmed(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of sets, those of similarity LEAST or more."""
-    ids = near.select(F.col("a").alias("sid")).union(near.select("b")).distinct()
+def whole(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """sid and all (the shingles) of the sets in ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("sid"), _lists([shingles(x.as_py()).view(np.int64) for x in b.column("text")])], names=["sid", "all"])
 
     one = with_sid(docs.select("text")).join(ids, "sid", "left_semi").groupBy("sid").agg(F.min("text").alias("text"))
-    whole = written(one.mapInArrow(run, "sid long, all array<long>"), "shingles")
-    both = near.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b")
+    return written(one.mapInArrow(run, "sid long, all array<long>"), "shingles")
+
+
+def confirmed(docs: DataFrame, near: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of sets, those of similarity LEAST or more."""
+    sets_ = whole(docs, near.select(F.col("a").alias("sid")).union(near.select("b")).distinct())
+    both = near.join(sets_.toDF("a", "x"), "a").join(sets_.toDF("b", "y"), "b")
     same = F.size(F.array_intersect("x", "y")).cast("long")
     return written(both.withColumn("same", same).where(LEAST[1] * F.col("same") >= LEAST[0] * (F.size("x") + F.size("y") - F.col("same"))).select("a", "b"), "links")
 
@@ -250,7 +285,5 @@ def roots(docs: DataFrame) -> DataFrame:
     met = blocks(sets(docs))
     links = confirmed(docs, first_pairs(met))
     joined = components(links).withColumnRenamed("node", "sid")
-    more = other_pairs(met, joined)
-    if not more.isEmpty():
-        joined = components(links.unionByName(confirmed(docs, more))).withColumnRenamed("node", "sid")
-    return joined
+    more = other_links(docs, met, joined)
+    return joined if more is None else components(links.unionByName(more)).withColumnRenamed("node", "sid")

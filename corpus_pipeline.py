@@ -5,17 +5,18 @@ text; the last returns doc_id, lang, source, n_tokens, ids, intact and slot, the
 row's place in the mixture, by which run() orders its rows. Null texts
 pass as they are (and count as empty); an empty table passes through; other columns,
 whatever their names, are carried along up to the last stage. Rows with a null
-doc_id, and rows that share one, are documents of their own, which go by their texts.
+doc_id are documents of their own, which go by their texts. Rows that share an id are
+one document to line dedup, which counts documents, and are judged by their own texts
+elsewhere. Texts of any length are worked on whole.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, line_dedup, mixing, quality, simhash
-from lodestone.llm.common import columns, documents, fresh, labels, pattern, ready, scratch, tokenizer, written
+from lodestone.llm.common import columns, documents, file_number, fresh, labels, located, pattern, ready, scratch, tokenizer
 
 #: Documents that score less are rejected.
 LEAST_QUALITY = 0.5
@@ -61,19 +62,15 @@ def placed(docs: DataFrame) -> DataFrame:
 
     Partitions follow each other in that order. A frame that is no table of files is written as one first.
     """
-    spark = docs.sparkSession
-    place = lambda d: d.select("doc_id", "lang", "source", "text", *[d.metadataColumn("_metadata")[c].alias(c) for c in ("file_name", "row_index")])
-    try:
-        rows = place(docs)
-    except AnalysisException:
-        rows = place(written(docs, "placed"))
+    rows = located(docs.select("doc_id", "lang", "source", "text"), "file_name", "row_index")
     # One row a file.
     ends = rows.groupBy("file_name").agg((F.max("row_index") + 1).alias("n"))
-    earlier = Window.orderBy("file_name").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy(file_number(F.col("file_name"))).rowsBetween(Window.unboundedPreceding, -1)
     starts = ends.select("file_name", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    rows = rows.join(F.broadcast(starts), "file_name").withColumn("slot", F.col("start") + F.col("row_index"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("doc_id", "lang", "source", "text", "slot").repartitionByRange(parts, "slot").sortWithinPartitions("slot")
+    total = ends.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]
+    rows = rows.join(starts, "file_name").withColumn("slot", F.col("start") + F.col("row_index"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("doc_id", "lang", "source", "text", "slot").repartitionById(parts, F.floor(F.col("slot") * parts / total).cast("int")).sortWithinPartitions("slot")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

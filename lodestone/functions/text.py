@@ -95,4 +95,5 @@ def score_label(fused: Column, rerank_rank: Column, rerank: Column, vector_rank:
 
 
 def is_path_query(text: Column) -> Column:
-    return F.rlike(trim(text), F.lit(r"(?i)^(LIST|TABLE|TASK|CALENDAR)\b"))
+    """Whether a text begins with a path query's keyword; only ASCII letters, digits and _ go on with a word."""
+    return F.rlike(trim(text), F.lit(r"(?i)^(LIST|TABLE|TASK|CALENDAR)(?![A-Za-z0-9_])"))

@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.functions.analysis import PLAIN_ANALYZER, Analyzer
-from lodestone.operators import filters, fusion, lexical, maintain, queue, rerank, vector
+from lodestone.operators import filters, fusion, lexical, maintain, pathset, queue, rerank, vector
 from lodestone.operators.chunk import chunk
+from lodestone.plans.indexer import Indexer
+from lodestone.plans.search import SearchService
+from lodestone.plans.settings import CHUNKS, SearchOptions, Settings
+from lodestone.sources.shared import scratch
+from lodestone.sources.store import Store
 from lodestone.sources.vault import prepare
 
 SIZE, OVERLAP = 1200, 180
@@ -42,6 +47,13 @@ SELECT CASE WHEN k = 4 THEN concat('old/', path) ELSE path END AS path, mtime, s
 FROM (SELECT *, doc_id % 6 AS k FROM notes) t
 """
 
+#: Notes with more in their front matter: lists, an alias, a status.
+RICH = """
+SELECT doc_id, path, mtime, size, replace(content, concat('rank: ', cast(doc_id % 20 AS STRING), chr(10), '---'),
+    concat('rank: ', cast(doc_id % 20 AS STRING), chr(10), 'status: active', chr(10), 'tags: [b tag, "#a/b"]', chr(10), 'alias: One Two', chr(10), 'project: [x, y]', chr(10), '---')) AS content
+FROM notes
+"""
+
 TAGS_SQL = "list_transform(list_sort(list_distinct(regexp_extract_all({}, '(^|[\\t\\n\\x0B\\f\\r ])#([A-Za-z0-9/_-]+)', 2))), lambda t: t)"
 BODY_SQL = """CASE WHEN starts_with(n, '---' || chr(10)) AND instr(substr(n, 5), chr(10) || '---') > 0 THEN
     CASE WHEN instr(substr(n, 4 + instr(substr(n, 5), chr(10) || '---') + 4), chr(10)) = 0 THEN ''
@@ -63,6 +75,10 @@ def earlier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(EARLIER.replace("FROM notes", "FROM {notes}"), notes=notes(spark, sf_dir))
 
 
+def rich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(RICH.replace("FROM notes", "FROM {notes}"), notes=notes(spark, sf_dir))
+
+
 def parsed(rows: DataFrame) -> DataFrame:
     """Body, hashes and tags of notes, by built-in expressions alone."""
     body = rows.withColumns({"body": X.body(F.col("content")), "raw": X.raw_frontmatter(F.col("content"))})
@@ -236,14 +252,97 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 OUTCOME = "CASE event_type WHEN 'purchase' THEN 'embedded' WHEN 'signup' THEN 'metadata-only' WHEN 'view' THEN 'unchanged' WHEN 'error' THEN 'failed' ELSE 'queued' END"
 
 
+NOW = "2024-01-01T00:00:00Z"
+
+
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = prepare(notes(spark, sf_dir).select("path", "mtime", "size", "content"), SIZE, OVERLAP, "hash", "2024-01-01T00:00:00Z")
-    return out.drop("body")
+    out = prepare(rich(spark, sf_dir).select("path", "mtime", "size", "content"), SIZE, OVERLAP, "hash", NOW).drop("body")
+    return out.select(*[F.array_join(c, " ").alias(c) if kind == "array<string>" else F.col(c) for c, kind in out.dtypes])
+
+
+def prepared_sql() -> str:
+    text = "list_transform(tags, lambda t: lower(t))"
+    return f"""SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') AS basename, mtime, size,
+        'Note ' || doc_id AS title, 'active' AS status, 'x, y' AS project, '' AS type, content_hash, body_hash, frontmatter_hash,
+        '{X.config_hash(SIZE, OVERLAP)}' AS chunking_config_hash, 'hash' AS embedding_model, '{NOW}' AS indexed_at,
+        array_to_string(tags, ' ') AS tags, array_to_string(inline_tags, ' ') AS inline_tags, 'a/b b tag' AS frontmatter_tags, 'One Two' AS aliases, 'alias project rank status tags title' AS frontmatter_keys,
+        '|' || array_to_string({text}, '|') || '|' AS tags_text, '|one|two|' AS aliases_text, '|alias|project|rank|status|tags|title|' AS frontmatter_keys_text,
+        '{{"title":"Note ' || doc_id || '","rank":' || doc_id % 20 || ',"status":"active","tags":["b tag","#a/b"],"alias":"One Two","project":["x","y"]}}' AS frontmatter_json
+    FROM (SELECT * REPLACE (list_sort(list_distinct(list_concat(tags, ['a/b', 'b', 'tag']))) AS tags), tags AS inline_tags FROM ({parsed_sql('rich')}))"""
+
+
+SOURCE = '(#lang/en or "src1") and -#SRC0'
+PATH_QUERY = 'TABLE title FROM #lang and -"src2" WHERE rank >= 10 AND status = "active" OR title = "Note 3"'
+
+
+def provider(spark: SparkSession, sf_dir: str) -> pathset.NotesProvider:
+    return pathset.NotesProvider(parsed(notes(spark, sf_dir)).select("path", "tags", "title", "status", "frontmatter_json"))
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts after a keyword, part of a word, or nothing."""
+    before = F.expr("CASE doc_id % 6 WHEN 0 THEN ' list ' WHEN 1 THEN 'TABLE' WHEN 2 THEN concat(chr(10), 'Calendar', chr(10)) WHEN 3 THEN 'task' ELSE '' END")
+    return _table(spark, sf_dir, "documents").select("doc_id", F.concat(before, F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def path_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = parsed(notes(spark, sf_dir)).withColumns({"chunking_config_hash": F.lit(X.config_hash(SIZE, OVERLAP)), "embedding_model": F.lit("hash"), "embedding_dim": F.lit(64).cast("long")})
+    return maintain.path_state(chunk(rows.select("path", *maintain.STATE, "body"), SIZE, OVERLAP))
+
+
+def found_in_store(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
+    """BM25 over postings kept as tables: an index of most documents, brought up to date with the rest."""
+    kept = lexical.StoredIndex(spark, scratch(spark, "postings"), PLAIN_ANALYZER)
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    kept.refresh(d.where("id % 10 <> 3").unionByName(d.where("id % 50 = 3").select((-1 - F.col("id")).alias("id"), "text")))
+    kept.refresh(d)
+    return lexical.search(kept.index(), QUESTION, limit)
+
+
+class Letters:
+    """A model that counts eight letters, so that SQL can do the same."""
+
+    names = "etaoinsh"
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        return [[float(t.lower().count(c)) for c in self.names] for t in texts]
+
+
+def service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way: notes indexed into a store, its texts into postings, and a narrowed search over both."""
+    store, kept = Store(spark, scratch(spark, "chunks"), CHUNKS), lexical.StoredIndex(spark, scratch(spark, "postings"), PLAIN_ANALYZER)
+    Indexer(store, Settings(embedding_model="letters"), Letters()).index(notes(spark, sf_dir).select("path", "mtime", "size", "content"))
+    kept.refresh(store.read())
+    search = SearchService(store.read(), Settings(), Letters(), index=kept).search(QUESTION, SearchOptions(tags=("#lang/EN",), where="length(text) > 300"))
+    return LONGS(search.select("id", "path", "distance", "fts_score", "vector_rank", "lexical_rank", "fused_score")).fillna(0.0, ["distance", "fts_score"])
+
+
+def service_sql(limit: int = 10, pool: int = 50) -> str:
+    q = Letters()([QUESTION])[0]
+    terms, wide = ", ".join(f"'{w}'" for w in sorted(set(QUESTION.split()))), 4 * limit
+    counts = ", ".join(f"(length(low) - length(replace(low, '{c}', '')))::DOUBLE" for c in Letters.names)
+    return f""", c AS MATERIALIZED (SELECT *, regexp_extract_all(low, '[\p{{L}}\p{{N}}]+') AS w, [{counts}] AS v FROM (SELECT *, lower(text) AS low FROM ({chunks_sql()}))),
+        ok AS MATERIALIZED (SELECT * FROM c WHERE tags_text LIKE '%|lang/en|%' AND length(text) > 300),
+        near AS (SELECT *, 1 / (1 + distance) AS score, row_number() OVER (ORDER BY distance, id) AS vo FROM (
+            SELECT id, round(1 - list_dot_product(v, {q}::DOUBLE[]) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product({q}::DOUBLE[], {q}::DOUBLE[]))), 9) + 0.0 AS distance
+            FROM ok WHERE list_dot_product(v, v) > 0) ORDER BY distance, id LIMIT {wide}),
+        s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM c),
+        h AS (SELECT * FROM (SELECT id, len(w) AS dl, term, len(list_filter(w, lambda x: x = term)) AS tf FROM c, (SELECT unnest([{terms}]) AS term)) WHERE tf > 0),
+        f AS (SELECT term, count(*) AS df FROM h GROUP BY term),
+        fts AS (SELECT *, row_number() OVER (ORDER BY fts_score DESC, id) AS lo FROM (
+            SELECT id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))), 9) AS fts_score
+            FROM h JOIN f USING (term), s WHERE id IN (SELECT id FROM ok) GROUP BY id) ORDER BY fts_score DESC, id LIMIT {wide}),
+        m AS (SELECT coalesce(near.id, fts.id) AS id, distance, coalesce(score, 0.0::DOUBLE) AS score, fts_score, row_number() OVER (ORDER BY vo NULLS LAST, lo NULLS LAST) AS merge_order FROM near FULL OUTER JOIN fts ON near.id = fts.id),
+        r AS (SELECT *, CASE WHEN distance IS NOT NULL THEN rank() OVER (ORDER BY CASE WHEN distance IS NOT NULL THEN score END DESC NULLS LAST) END AS vector_rank,
+            CASE WHEN fts_score IS NOT NULL THEN rank() OVER (ORDER BY fts_score DESC NULLS LAST) END AS lexical_rank FROM m),
+        p AS (SELECT *, {RRF_SQL} AS fused_score FROM r ORDER BY fused_score DESC, merge_order LIMIT {pool})
+        SELECT id, path, coalesce(distance, 0.0::DOUBLE) AS distance, coalesce(fts_score, 0.0::DOUBLE) AS fts_score, coalesce(vector_rank, 0) AS vector_rank, coalesce(lexical_rank, 0) AS lexical_rank, fused_score
+        FROM p JOIN (SELECT id, path FROM c) USING (id) ORDER BY fused_score DESC, merge_order, id LIMIT {limit}"""
 
 
 def _with(sql: str, *tables: str) -> str:
     """SQL with the fixtures it needs before it."""
-    return "WITH notes AS (" + NOTES + "), earlier AS (" + EARLIER + ")\n" + sql
+    return "WITH notes AS (" + NOTES + "), earlier AS (" + EARLIER + "), rich AS (" + RICH + ")\n" + sql
 
 
 def _semi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,9 +354,14 @@ def _empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.narrowed(chunks(spark, sf_dir), paths=notes(spark, sf_dir).where("status = 'nowhere'").select("path")).select("id")
 
 
+#: Rows with and without a fused score, and with and without a rerank part.
+LABELLED = "SELECT id, score, vector_rank, lexical_rank, CASE WHEN id % 5 = 0 THEN NULL ELSE fused_score END AS fused_score, CASE WHEN id % 3 = 0 THEN (id % 1000) / 8.0E0 END AS rerank FROM fused"
+
+
 def _labels(d: DataFrame) -> DataFrame:
-    none = F.lit(None).cast("double")
-    return d.select("id", X.score_label(F.col("fused_score"), none.cast("int"), none, F.col("vector_rank"), F.col("lexical_rank"), F.col("score")).alias("label"))
+    rows = d.sparkSession.sql(LABELLED.replace("FROM fused", "FROM {fused}"), fused=d)
+    rank = F.when(F.col("rerank").isNotNull(), F.lit(1))
+    return rows.select("id", X.score_label(F.col("fused_score"), rank, F.col("rerank"), F.col("vector_rank"), F.col("lexical_rank"), F.col("score")).alias("label"))
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,7 +405,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "status_counts": lambda s, d: maintain.status(chunks(s, d)),
     "render_scores": lambda s, d: _labels(_fused(s, d)),
     "excerpt": lambda s, d: chunks(s, d).select("id", X.excerpt(F.col("text")).alias("excerpt")),
-    "path_query": lambda s, d: _table(s, d, "documents").select("doc_id", F.coalesce(X.is_path_query(F.col("text")), F.lit(False)).alias("is_query")),
+    "path_query": lambda s, d: questions(s, d).select("doc_id", X.is_path_query(F.col("text")).alias("is_query")),
+    "path_set_source": lambda s, d: provider(s, d).by_source(SOURCE),
+    "path_set_query": lambda s, d: provider(s, d).by_query(PATH_QUERY),
+    "path_state": path_state,
+    "filter_path": lambda s, d: chunks(s, d).where(filters.at_path("src1/en/1.md") | filters.at_path("src3/fr/3.md") | filters.at_path("src0/fr/0.md")).select("id", "path"),
+    "bm25_stored": lambda s, d: found_in_store(s, d, 40),
+    "service_search": service,
 }
 
 
@@ -351,8 +461,17 @@ def sql() -> dict[str, str]:
             count(*) FILTER (o = 'metadata-only') AS metadata_only, count(*) FILTER (o = 'unchanged') AS unchanged, count(*) FILTER (o = 'failed') AS failed,
             count(*) FILTER (o = 'queued') AS queued FROM (SELECT {OUTCOME} AS o FROM events)""",
         "status_counts": _with(f"SELECT count(*) AS chunks, count(DISTINCT path) AS paths FROM ({chunks_sql()})"),
-        "render_scores": f"""SELECT id, 'rrf ' || round(fused::DECIMAL(18, 12), 4)::DECIMAL(18, 4)::VARCHAR || ' (' || concat_ws(' ', 'v#' || vector_rank, 'bm25#' || lexical_rank) || ')' AS label
-            FROM (SELECT *, {RRF_SQL} AS fused FROM ({merged_sql()}))""",
+        "render_scores": f"""SELECT id, CASE WHEN fused_score IS NULL THEN 'score ' || round(score::DECIMAL(18, 12), 3)::DECIMAL(18, 3)::VARCHAR
+            ELSE 'rrf ' || round(fused_score::DECIMAL(18, 12), 4)::DECIMAL(18, 4)::VARCHAR || ' (' || concat_ws(' ', 'r' || round(rerank::DECIMAL(18, 12), 2)::DECIMAL(18, 2)::VARCHAR, 'v#' || vector_rank, 'bm25#' || lexical_rank) || ')' END AS label
+            FROM ({LABELLED.replace("FROM fused", f"FROM (SELECT *, {RRF_SQL} AS fused_score FROM ({merged_sql()}))")})""",
         "excerpt": one("id, substr(text, 1, 700) AS excerpt", chunks_sql()),
-        "path_query": "SELECT doc_id, coalesce(regexp_matches(trim(text), '^(LIST|TABLE|TASK|CALENDAR)\\b', 'i'), false) AS is_query FROM documents",
+        "path_query": """SELECT doc_id, regexp_matches(t, '^[\\s]*(LIST|TABLE|TASK|CALENDAR)([^A-Za-z0-9_]|$)', 'i') AS is_query FROM (
+            SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN ' list ' WHEN 1 THEN 'TABLE' WHEN 2 THEN chr(10) || 'Calendar' || chr(10) WHEN 3 THEN 'task' ELSE '' END || coalesce(text, '') AS t FROM documents)""",
+        "path_set_source": one("DISTINCT path", f"SELECT * FROM ({parsed_sql()}) WHERE (len(list_filter(tags, lambda t: lower(t) = 'lang/en' OR starts_with(lower(t), 'lang/en/'))) > 0 OR path IN ('src1', 'src1.md') OR starts_with(path, 'src1/')) AND NOT len(list_filter(tags, lambda t: lower(t) = 'src0' OR starts_with(lower(t), 'src0/'))) > 0"),
+        "path_set_query": one("DISTINCT path", f"SELECT * FROM ({parsed_sql()}) WHERE len(list_filter(tags, lambda t: starts_with(lower(t), 'lang/'))) > 0 AND NOT starts_with(path, 'src2/') AND (doc_id % 20 >= 10 AND status = 'active' OR title = 'Note 3')"),
+        "path_state": one(f"path, content_hash, body_hash, frontmatter_hash, '{config}' AS chunking_config_hash, 'hash' AS embedding_model, 64::BIGINT AS embedding_dim", f"SELECT * FROM ({parsed_sql()}) WHERE path IN (SELECT path FROM ({chunks_sql()}) WHERE position = 0)"),
+        "filter_path": one("id, path", f"SELECT * FROM ({chunks_sql()}) WHERE path IN ('src1/en/1.md', 'src3/fr/3.md', 'src0/fr/0.md')"),
+        "note_prepare": _with(prepared_sql()),
+        "bm25_stored": found_sql(40),
+        "service_search": _with(service_sql()),
     }

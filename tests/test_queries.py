@@ -32,3 +32,13 @@ def test_the_legs_overlap(spark):
     rows = queries.merged(spark, DIR).collect()
     both = [r for r in rows if r.distance is not None and r.fts_score is not None]
     assert both and any(r.fts_score is None for r in rows)
+
+
+def test_results_that_say_something(spark):
+    rows = lambda name: queries.QUERIES[name](spark, DIR).collect()
+    assert {r.is_query for r in rows("path_query")} == {True, False}
+    labels = [r.label for r in rows("render_scores")]
+    assert any(x.startswith("score ") for x in labels) and any("(r" in x and "v#" in x for x in labels) and any("(bm25#" in x for x in labels)
+    assert rows("path_set_source") and rows("path_set_query") and rows("filter_path")
+    hits = rows("service_search")
+    assert len(hits) == 10 and any(r.vector_rank and r.lexical_rank for r in hits) and all("/en/" in r.path for r in hits)

@@ -8,8 +8,10 @@ neighbours are looked up and indexed anew. Documents are then read off by word.
 
 Blocks are runs of Arrow batches within a partition, so nothing shuffles, a lost
 task is recomputed from its input, and memory is bounded by the block and by
-MOST_KEPT strings. Null text has no ids; an empty id list decodes to no bytes; an
-id outside the vocabulary raises ValueError.
+MOST_KEPT strings. Null and empty texts have no ids; an empty id list decodes to no
+bytes; an id outside the vocabulary raises ValueError. Very long texts are coded whole;
+repeated rows have equal ids; other columns, whatever their names, are carried along,
+but columns of the results' names are replaced; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -77,13 +79,23 @@ class Vocabulary:
 
     def word(self, word: bytes) -> list[int]:
         """One word, a merge at a time: lowest rank first, leftmost of equals."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(parts[i] + parts[i + 1], self.size), i) for i in range(len(parts) - 1))
-            if rank == self.size:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+        n, known = len(word), self.ranks.get
+        parts: list[bytes | None] = [word[i : i + 1] for i in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting = [(r, i, x, y) for i, (x, y) in enumerate(zip(parts, parts[1:])) if (r := known(x + y)) is not None]
+        heapq.heapify(waiting)
+        while waiting:
+            _, i, x, y = heapq.heappop(waiting)
+            j = after[i]
+            if parts[i] != x or j >= n or parts[j] != y:  # merged since
+                continue
+            parts[i], parts[j], after[i] = x + y, None, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for left in (before[i], i):
+                if left >= 0 and after[left] < n and (r := known(parts[left] + parts[after[left]])) is not None:
+                    heapq.heappush(waiting, (r, left, parts[left], parts[after[left]]))
+        return [self.ranks[p] for p in parts if p is not None]
 
 
 def _alternate(pos: np.ndarray, nxt: np.ndarray) -> np.ndarray:

@@ -10,8 +10,10 @@ data is cut at restart markers, and all segments of all pictures with the same
 tables are Huffman-decoded in lockstep, a coefficient of each at a time. Thumbnails
 are the dequantized DC values of the luminance blocks.
 
-A null payload is an empty one padded; equal payloads give equal files; a file that
-is no baseline JPEG raises ValueError.
+A null or empty text is an empty payload padded; equal payloads, so repeated rows, give
+equal files; very long texts make one picture, wider beyond MOST_HIGH blocks; other
+columns are left out; an empty table has no rows; a file that is no baseline JPEG
+raises ValueError.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ offends.
 Words and prefixes are hashed after case and anything but letters are stripped, so marks around
 a word do not hide it. Null and empty texts have no sentences and score LEAK;
 repeated rows score alike; very long texts are scored whole, and as clean words
-weigh next to nothing, length alone does not make a text toxic.
+weigh next to nothing, length alone does not make a text toxic; other columns, whatever
+their names, are carried along, but one of the score's name is replaced; an empty table
+has no scores, and without labels of both kinds all sentences score alike, next to nothing.
 """
 
 from __future__ import annotations

@@ -68,6 +68,8 @@ def test_bpe_on_odd_strings():
     parts = ["a", "aaaa", "'s", " ", "  ", "\n", "\t", "\x1c", "\x85", " ", "　", "é", "世", "😀", "19", "!?", "the", "Ⅷ"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(30))) for _ in range(3000)]
     assert bpe._store(RANKS, P.PATTERN).column(pa.array(texts)).to_pylist() == [lib.encode_ordinary(t) for t in texts]
+    for word in ("ab" * 3000, "".join(rnd.choice("abcdefgh") for _ in range(5000)), "the" * 999 + "é"):
+        assert v.word(word.encode()) == bpe.replay([word.encode()], v)[0].tolist() == lib.encode_ordinary(word)
     words = [bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(12))) for _ in range(500)]
     ids, counts = bpe.replay(words, v)
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [v.word(w) for w in words]

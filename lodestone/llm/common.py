@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.sources.shared import scratch
+from lodestone.sources.shared import discard, scratch
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 ARROW_ROWS = "1000"
@@ -59,7 +59,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends here."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that no table still to be made reads."""
+    for t in tables:
+        discard(t.sparkSession, t._written)
 
 
 def located(df: DataFrame, file: str, row: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import written
+from lodestone.llm.common import forget, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,4 +28,5 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("w > u").join(least, "u").select(F.col("w").alias("v"), F.col("m").alias("p")).distinct()
         root = large.groupBy("v").agg(F.min("p").alias("m"))
         small = large.join(root, "v").select(F.explode(F.when(F.col("p") > F.col("m"), F.array(F.struct(F.col("p").alias("v"), F.col("m").alias("p")), F.struct(F.col("v"), F.col("m").alias("p")))).otherwise(F.array(F.struct(F.col("v"), F.col("m").alias("p"))))).alias("e"))
-        e = written(small.select("e.v", "e.p").distinct(), "edges")
+        old, e = e, written(small.select("e.v", "e.p").distinct(), "edges")
+        forget(old)

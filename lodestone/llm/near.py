@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import mapped, written
+from lodestone.llm.common import forget, mapped, written
 from lodestone.llm.components import components
 from lodestone.llm.trie import close_pairs, merge
 
@@ -131,6 +131,7 @@ def hot_shingles(docs: DataFrame) -> np.ndarray | None:
     # At most HOT_BITS bits.
     for p, bits in at.repartition(HOT_BITS // HOT_PART, F.floor(F.col("at") / HOT_PART)).mapInArrow(pack, "part int, bits binary").collect():
         out[p * HOT_PART // 8 : (p + 1) * HOT_PART // 8] |= np.frombuffer(zlib.decompress(bits), np.uint8)
+    forget(often)
     return out
 
 
@@ -153,7 +154,9 @@ def blocks(found: DataFrame) -> DataFrame:
     """h (the block), g (its sets), sid, pos (of h in the prefix), n, fp, fq; blocks of one set are left out."""
     posts = found.select("sid", F.posexplode("first").alias("pos", "h"))
     met = posts.groupBy("h").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
-    return written(posts.join(met, "h").join(found.select("sid", "n", "fp", "fq"), "sid"), "blocks")
+    out = written(posts.join(met, "h").join(found.select("sid", "n", "fp", "fq"), "sid"), "blocks")
+    forget(found)
+    return out
 
 
 def may_be_near(x: str, y: str) -> Column:
@@ -245,10 +248,13 @@ def other_links(docs: DataFrame, met: DataFrame, joined: DataFrame) -> DataFrame
     rows = written(large.join(mixed, "h"), "mixed")
     if rows.isEmpty():
         return None
+    sets_ = whole(docs, rows.select("sid").distinct())
     buckets = rows.withColumn("s", F.ceil(F.col("size") / BUCKET).cast("int")).withColumn("u", F.pmod(F.xxhash64("sid"), F.col("s")).cast("int"))
-    dealt = buckets.withColumn("v", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).join(whole(docs, rows.select("sid").distinct()), "sid")
+    dealt = buckets.withColumn("v", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).join(sets_, "sid")
     dealt = dealt.select("h", F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"), "u", "sid", "pos", "n", "fp", "fq", "label", "all")
-    return written(dealt.groupBy("h", "x", "y").applyInArrow(_close, "a long, b long").distinct(), "links")
+    out = written(dealt.groupBy("h", "x", "y").applyInArrow(_close, "a long, b long").distinct(), "links")
+    forget(rows, sets_)
+    return out
 
 
 def whole(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -267,7 +273,9 @@ def confirmed(docs: DataFrame, near: DataFrame) -> DataFrame:
     sets_ = whole(docs, near.select(F.col("a").alias("sid")).union(near.select("b")).distinct())
     both = near.join(sets_.toDF("a", "x"), "a").join(sets_.toDF("b", "y"), "b")
     same = F.size(F.array_intersect("x", "y")).cast("long")
-    return written(both.withColumn("same", same).where(LEAST[1] * F.col("same") >= LEAST[0] * (F.size("x") + F.size("y") - F.col("same"))).select("a", "b"), "links")
+    out = written(both.withColumn("same", same).where(LEAST[1] * F.col("same") >= LEAST[0] * (F.size("x") + F.size("y") - F.col("same"))).select("a", "b"), "links")
+    forget(sets_, near)
+    return out
 
 
 def with_sid(docs: DataFrame, out: str = "sid") -> DataFrame:

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, line_dedup, mixing, quality, simhash
-from lodestone.llm.common import columns, documents, file_number, fresh, labels, located, pattern, ready, scratch, tokenizer
+from lodestone.llm.common import columns, documents, file_number, fresh, labels, located, pattern, ready, tokenizer
+from lodestone.sources.shared import discard, scratch
 
 #: Documents that score less are rejected.
 LEAST_QUALITY = 0.5
@@ -98,10 +99,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The result of the last stage; the folders of those before it are deleted once they have been read."""
+    docs, path = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        path = scratch(spark, f"pipeline-{name}")
+        last, path = path, scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            discard(spark, last)
     # Files are read by size, not by name.
     return docs.orderBy("slot")

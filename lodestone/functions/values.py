@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from typing import Any
 
 import pandas as pd
@@ -26,9 +27,27 @@ def compact(value: Any) -> str:
     return json.dumps(whole(value), separators=(",", ":"), ensure_ascii=False)
 
 
+#: The order of ASCII marks in the root collation; digits and letters follow.
+MARKS = "\t\n\x0b\x0c\r _-,;:!?.'\"()[]{}@*/\\&#%`^+<=>|~$"
+
+
+def collation(text: str) -> tuple:
+    """A key that sorts as people do: letters before their accents, both before case, small letters first."""
+    marks = unicodedata.normalize("NFD", text)
+    plain = [c for c in marks if not unicodedata.combining(c)]
+    place = lambda c: (0, MARKS.index(c)) if c in MARKS else (1 if c.isdigit() else 2, ord(c))
+    return [place(x) for c in plain for x in c.casefold()], [c for c in marks if unicodedata.combining(c)], [c.isupper() for c in plain], text
+
+
+def _ordered(value: Any) -> Any:
+    if isinstance(value, dict):
+        return {k: _ordered(value[k]) for k in sorted(value, key=collation)}
+    return [_ordered(v) for v in value] if isinstance(value, list) else value
+
+
 def stable(value: Any) -> str:
-    """Compact JSON with sorted keys, at every depth."""
-    return json.dumps(whole(value), separators=(",", ":"), ensure_ascii=False, sort_keys=True)
+    """Compact JSON with keys in collation order, at every depth."""
+    return json.dumps(_ordered(whole(value)), separators=(",", ":"), ensure_ascii=False)
 
 
 def strings(value: Any) -> list[str]:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import math
+import threading
 from collections.abc import Callable
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -45,7 +47,7 @@ def failed(error: Exception) -> dict:
 
 
 class Api:
-    """Replies are what a request asks for, or error and status."""
+    """Replies are what a request asks for, or ok (false), error and status."""
 
     def __init__(self, service: Callable[[], SearchService], indexer: Indexer, queue: Queue, notes: Callable[[], DataFrame]):
         self.service, self.indexer, self.queue, self.notes = service, indexer, queue, notes
@@ -70,3 +72,39 @@ class Api:
             return self.status()
         except Exception as e:  # noqa: BLE001
             return failed(e)
+
+    def handle(self, method: str, path: str, request: Any = None) -> tuple[int, dict]:
+        """The status and body of the reply to a request for status/, search/ or reindex/."""
+        routes = {("GET", "status"): lambda: self.status(), ("POST", "search"): lambda: self.search(request), ("POST", "reindex"): lambda: self.reindex(request)}
+        route = routes.get((method.upper(), path.split("?")[0].strip("/").rpartition("/")[2]))
+        if route is None:
+            return 404, {"ok": False, "error": f"no route for {method} {path}", "status": 404}
+        out = route()
+        return (out["status"] if out.get("ok") is False else 200), out
+
+
+def serve(api: Api, host: str = "127.0.0.1", port: int = 0) -> ThreadingHTTPServer:
+    """Answers requests over HTTP from a thread of its own; ``shutdown`` ends it."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def _answer(self) -> None:
+            try:
+                raw = self.rfile.read(int(self.headers.get("Content-Length") or 0))
+                status, out = api.handle(self.command, self.path, {"body": json.loads(raw) if raw.strip() else {}})
+            except ValueError as e:
+                status, out = 400, {"ok": False, "error": str(e), "status": 400}
+            text = json.dumps(out, default=str).encode()
+            self.send_response(status)
+            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Length", str(len(text)))
+            self.end_headers()
+            self.wfile.write(text)
+
+        do_GET = do_POST = _answer
+
+        def log_message(self, *args: Any) -> None:
+            pass
+
+    server = ThreadingHTTPServer((host, port), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    return server

@@ -1,8 +1,8 @@
 """A table of rows with a path, as Parquet files in parts by the path's hash.
 
-A version is a small file that names the folder of each part. A commit writes new
-folders for the parts it touches alone and then creates the next version's file,
-which fails if it is there: two writers cannot both be the next. Nothing that a
+A version is a small file that names the folders of each part. A commit writes new
+folders for the parts it touches alone (an append adds to them) and then creates the
+next version's file, which fails if it is there: two writers cannot both be the next. Nothing that a
 version names is changed or removed before newer versions stand, so a reader sees
 the newest whole version whenever a commit stops, and untouched parts keep their
 files. A batch that is replayed under its id changes nothing. Files are reached
@@ -106,14 +106,14 @@ class Store:
         self.versions = Versions(self.files)
 
     def pointer(self) -> dict:
-        """version, batch (the last that had an id), parts (how many) and dirs (the folder of each part that has rows)."""
+        """version, batch (the last that had an id), parts (how many) and dirs (the folders of each part that has rows)."""
         return {"batch": None, "parts": self._parts, "dirs": {}} | self.versions.newest()
 
     def _part(self, path: str | Column, parts: int) -> Column:
         return F.pmod(F.xxhash64(path), F.lit(parts)).cast("int")
 
     def _read(self, was: dict, parts: list[int] | None = None) -> DataFrame:
-        dirs = [f"{self.root}/{d}" for p, d in was["dirs"].items() if parts is None or int(p) in parts]
+        dirs = [f"{self.root}/{d}" for p, own in was["dirs"].items() if parts is None or int(p) in parts for d in own]
         return self.spark.read.schema(self.schema).parquet(*dirs) if dirs else self.spark.createDataFrame([], self.schema)
 
     def read(self) -> DataFrame:
@@ -134,18 +134,32 @@ class Store:
         touched = [r[0] for r in paths.select(self._part("path", was["parts"]).alias("p")).distinct().collect()]
         return self._commit(was, change(self._read(was, touched)), touched, batch) if touched else was["version"]
 
-    def _commit(self, was: dict, rows: DataFrame, touched: list[int], batch: int | str | None) -> int:
+    def append(self, rows: DataFrame, batch: int | str | None = None) -> int:
+        """Adds rows; the files that are there stay."""
+        return self._commit(self.pointer(), rows, None, batch)
+
+    def _commit(self, was: dict, rows: DataFrame, touched: list[int] | None, batch: int | str | None) -> int:
         if batch is not None and was["batch"] == batch:
             return was["version"]
-        folder = f"data/{was['version'] + 1:012d}-{uuid.uuid4().hex[:8]}"
         out = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema], self._part("path", was["parts"]).alias(PART))
         # A note's rows stay together.
-        out.repartition(PART, F.pmod(F.hash("path"), F.lit(SPREAD))).sortWithinPartitions(PART, "path").write.partitionBy(PART).parquet(f"{self.root}/{folder}")
-        made = {n.split("=")[1]: f"{folder}/{n}" for n in self.files.names(folder) if n.startswith(f"{PART}=")}
-        if strange := set(map(int, made)) - set(touched):
+        made = self._write(was, out.repartition(PART, F.pmod(F.hash("path"), F.lit(SPREAD))))
+        if touched is None:
+            dirs = was["dirs"] | {p: was["dirs"].get(p, []) + own for p, own in made.items()}
+        elif strange := set(map(int, made)) - set(touched):
             raise ValueError(f"rows of parts that the change did not name: {sorted(strange)}")
-        dirs = {p: d for p, d in was["dirs"].items() if int(p) not in touched} | made
-        number = self.versions.add(was["version"], {"batch": was["batch"] if batch is None else batch, "parts": was["parts"], "dirs": dirs})
+        else:
+            dirs = {p: own for p, own in was["dirs"].items() if int(p) not in touched} | made
+        return self._add(was, dirs, was["batch"] if batch is None else batch)
+
+    def _write(self, was: dict, rows: DataFrame) -> dict[str, list[str]]:
+        """The folder of each part of the rows, in a list."""
+        folder = f"data/{was['version'] + 1:012d}-{uuid.uuid4().hex[:8]}"
+        rows.sortWithinPartitions(PART, "path").write.partitionBy(PART).parquet(f"{self.root}/{folder}")
+        return {n.split("=")[1]: [f"{folder}/{n}"] for n in self.files.names(folder) if n.startswith(f"{PART}=")}
+
+    def _add(self, was: dict, dirs: dict[str, list[str]], batch: int | str | None) -> int:
+        number = self.versions.add(was["version"], {"batch": batch, "parts": was["parts"], "dirs": dirs})
         self._forget()
         return number
 
@@ -156,7 +170,7 @@ class Store:
         if len(whole) <= self.keep:
             return
         first = whole[-self.keep]
-        named = {d for n in whole[-self.keep :] for d in self.versions.load(n)["dirs"].values()}
+        named = {d for n in whole[-self.keep :] for own in self.versions.load(n)["dirs"].values() for d in own}
         for n in numbers:
             if n < first:
                 self.files.delete(f"versions/{n:012d}.json")
@@ -173,16 +187,13 @@ class Store:
     def compact(self, files: int = SPREAD) -> int:
         """Rewrites the parts that have more than ``files`` files as so many at most."""
         was = self.pointer()
-        many = [int(p) for p, d in was["dirs"].items() if sum(n.endswith(".parquet") for n in self.files.names(d)) > files]
+        size = lambda own: sum(n.endswith(".parquet") for d in own for n in self.files.names(d))
+        many = [int(p) for p, own in was["dirs"].items() if size(own) > files]
         if not many:
             return was["version"]
-        folder = f"data/{was['version'] + 1:012d}-{uuid.uuid4().hex[:8]}"
         rows = self._read(was, many).withColumn(PART, self._part("path", was["parts"]))
-        rows.repartition(len(many) * files, PART, F.pmod(F.hash("path"), F.lit(files))).sortWithinPartitions(PART, "path").write.partitionBy(PART).parquet(f"{self.root}/{folder}")
-        made = {n.split("=")[1]: f"{folder}/{n}" for n in self.files.names(folder) if n.startswith(f"{PART}=")}
-        number = self.versions.add(was["version"], {"batch": was["batch"], "parts": was["parts"], "dirs": was["dirs"] | made})
-        self._forget()
-        return number
+        made = self._write(was, rows.repartition(len(many) * files, PART, F.pmod(F.hash("path"), F.lit(files))))
+        return self._add(was, was["dirs"] | made, was["batch"])
 
 
 def tried(action: Callable[[], int]) -> int | None:

@@ -1,9 +1,9 @@
 """The persistent queue: an append-only event log read as a stream, and a log of what became of it.
 
-A micro-batch takes all that is queued, collapses it by path and indexes the notes
-that are there in one commit. A note that fails holds up no other: it goes back to
-the log with one more attempt and its error, and a batch of such retries alone waits
-until RETRY_SECONDS have passed. A batch without failures has emptied the queue and
+A micro-batch takes all that is queued, waits until the newest of it is QUIET_SECONDS
+old, collapses it by path and indexes the notes that are there, in parallel, in one
+commit. A note that fails holds up no other: it goes back to the log with one more
+attempt and its error, and a batch of such retries alone waits for RETRY_SECONDS. A batch without failures has emptied the queue and
 ends with the table's upkeep. A batch is replayed after a crash and commits once, as
 its id is stored with the table, and its outcomes are written over.
 """
@@ -23,7 +23,7 @@ from lodestone.plans.indexer import OUTCOMES, Indexer
 from lodestone.sources.store import Files
 
 EVENTS = "path string, enqueued_at string, updated_at string, attempts int, last_error string"
-DEBOUNCE, RETRY_SECONDS = "750 milliseconds", 10.0
+QUIET_SECONDS, RETRY_SECONDS = 0.75, 10.0
 
 
 def _now() -> str:
@@ -82,7 +82,7 @@ class Queue:
         return counts | {"queued": self.pending().count(), "last_error": (last.e or "") if last else ""}
 
     def start(self, notes: Callable[[], DataFrame], indexer: Indexer, trigger: dict | None = None, retry_seconds: float = RETRY_SECONDS) -> StreamingQuery:
-        """Runs the queue; ``trigger`` is for writeStream.trigger: an interval debounces, availableNow drains. Stop the query to stop it."""
+        """Runs the queue; ``trigger`` is for writeStream.trigger: an interval repeats, availableNow drains. Stop the query to stop it."""
 
         def batch(events: DataFrame, number: int) -> None:
             self._wait(events, retry_seconds)
@@ -103,11 +103,11 @@ class Queue:
         if not self.files.names("events"):  # a stream needs its folder
             self._append(self.spark.createDataFrame([], EVENTS))
         stream = self.spark.readStream.schema(EVENTS).parquet(f"{self.root}/events")
-        return stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{self.root}/checkpoint").trigger(**(trigger or {"processingTime": DEBOUNCE})).start()
+        return stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{self.root}/checkpoint").trigger(**(trigger or {"processingTime": f"{round(QUIET_SECONDS * 1000)} milliseconds"})).start()
 
     @staticmethod
     def _wait(events: DataFrame, seconds: float) -> None:
-        last, fresh = events.agg(F.max("updated_at"), F.min("attempts")).first()
-        if last is not None and fresh:
-            due = datetime.fromisoformat(last).timestamp() + seconds
-            time.sleep(min(max(0.0, due - time.time()), seconds))
+        last, tried = events.agg(F.max("updated_at"), F.min("attempts")).first()
+        if last is not None:
+            pause = seconds if tried else QUIET_SECONDS
+            time.sleep(min(max(0.0, datetime.fromisoformat(last).timestamp() + pause - time.time()), pause))

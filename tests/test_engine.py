@@ -1,7 +1,10 @@
 """Sharp edges, property tests and scenarios of the engine."""
 
+import json
 import random
 import time
+import urllib.error
+import urllib.request
 
 import pytest
 from hypothesis import given, settings
@@ -13,11 +16,11 @@ from lodestone.functions.analysis import Analyzer, porter
 from lodestone.functions.values import described, stable, strings
 from lodestone.operators import filters, fusion, lexical, pathset, rerank
 from lodestone.operators.chunk import slices
-from lodestone.plans.api import Api, body_of, options_of
+from lodestone.plans.api import Api, body_of, options_of, serve
 from lodestone.plans.indexer import Indexer
 from lodestone.plans.search import SearchService
 from lodestone.plans.settings import CHUNKS, NOTES, SearchOptions, Settings, load_settings, number, save_settings
-from lodestone.sources.models import HashEmbedder, HttpEmbedder, HttpReranker, join_url
+from lodestone.sources.models import HashEmbedder, HttpEmbedder, HttpReranker, join_url, post_json
 from lodestone.sources.store import Conflict, Store
 from lodestone.sources.vault import scan
 from lodestone.streaming import queue
@@ -58,9 +61,15 @@ def test_tags(spark):
     assert r == ["a/1", "b", "c_d", "caf"]
 
 
+def test_lists_sort_as_people_do(spark):
+    r = spark.createDataFrame([(["b", " B", "á", "a", "Z", "é", "a", "", "ß", "s", "t"],)], "t array<string>").select(X.unique(F.col("t")).alias("t")).first().t
+    assert r == ["a", "á", "b", "B", "é", "s", "ß", "t", "Z"]
+
+
 def test_values():
     assert strings(["My Note", ["x,y"], 3, True]) == ["My", "Note", "x", "y"]
     assert stable({"b": 1.0, "a": [True, None]}) == '{"a":[true,null],"b":1}'
+    assert list(json.loads(stable({k: 0 for k in ("b", "B", "á", "a", "Z", "é", "_x", "x_", "x", "10", "9")}))) == ["_x", "10", "9", "a", "á", "b", "B", "é", "x", "x_", "Z"]
     d = described("---\ntags: [a, '#b']\nalias: One Two\ndone: yes\nn: 1.0\nwhen: 2024-01-01\n---")
     assert d[0] == '{"tags":["a","#b"],"alias":"One Two","done":"yes","n":1,"when":"2024-01-01"}' and d[6] == ["a", "b"] and d[7] == ["One", "Two"]
     assert described("---\n: [\n---")[0] == "{}"
@@ -171,7 +180,7 @@ def test_a_change_leaves_other_parts_files(spark, tmp_path):
     only = _rows(spark, ("p7", -1))
     assert store.rewrite(only, lambda old: old.join(only.select("path"), "path", "left_anti").unionByName(only)) == 2
     now = store.pointer()
-    assert len(was) == 8 and len({*now["dirs"].items()} - {*was.items()}) == 1 and now["batch"] == "b"
+    assert len(was) == 8 and sum(was[p] != now["dirs"][p] for p in was) == 1 and now["batch"] == "b"
     assert _held(store) == sorted([(f"p{i}", i) for i in range(40) if i != 7] + [("p7", -1)])
     with pytest.raises(ValueError):
         store.rewrite(only, lambda old: _rows(spark, *[(f"x{i}", i) for i in range(20)]))
@@ -212,6 +221,16 @@ def test_a_commit_that_stops_anywhere_leaves_a_whole_table(spark, tmp_path, monk
     assert _held(store) == [("c", 3)]
 
 
+def test_an_append_keeps_all_files(spark, tmp_path):
+    store = Store(spark, str(tmp_path), _rows(spark).schema, parts=2)
+    for i in range(4):
+        store.append(_rows(spark, *[(f"p{k}", i) for k in range(9)]), batch=i)
+    assert store.append(_rows(spark, ("x", 0)), batch=3) == 4
+    assert _held(store) == sorted((f"p{k}", i) for k in range(9) for i in range(4)) and all(len(own) == 4 for own in store.pointer()["dirs"].values())
+    store.compact(1)
+    assert len(_held(store)) == 36 and all(len(own) == 1 for own in store.pointer()["dirs"].values())
+
+
 def test_two_writers_do_not_both_win(spark, tmp_path):
     store = Store(spark, str(tmp_path), _rows(spark).schema)
     was = store.pointer()
@@ -224,7 +243,7 @@ def test_two_writers_do_not_both_win(spark, tmp_path):
 def test_compaction(spark, tmp_path):
     store = Store(spark, str(tmp_path), _rows(spark).schema, parts=2)
     store.commit(_rows(spark, *[(f"p{i}", i) for i in range(40)]))
-    files = lambda: [len([n for n in store.files.names(d) if n.endswith(".parquet")]) for d in store.pointer()["dirs"].values()]
+    files = lambda: [len([n for d in own for n in store.files.names(d) if n.endswith(".parquet")]) for own in store.pointer()["dirs"].values()]
     many = max(files())
     v = store.compact(1)
     assert len(_held(store)) == 40 and max(files()) == 1 and (v == 2 or many == 1) and store.compact(1) == v
@@ -331,6 +350,15 @@ def test_requests(spark, tmp_path):
     assert [h["path"] for h in api.search({"body": {"query": "alpha", "dataviewSource": '"nowhere"', "dataviewQuery": "LIST FROM -#t"}})["results"]] == ["b.md"]
     assert [h["path"] for h in service().search("alpha", SearchOptions(allowed_paths=notes.where("path = 'b.md'"), path_query="LIST FROM #t")).collect()] == ["b.md"]
     assert api.status()["index"] == {"chunks": 2, "paths": 2}
+    server = serve(api)
+    url = f"http://127.0.0.1:{server.server_port}/lookup"
+    assert post_json(f"{url}/search/", {"query": "gamma", "limit": 1})["results"][0]["path"] == "b.md"
+    assert json.load(urllib.request.urlopen(f"{url}/status/")) == api.status()
+    for path, body, code in (("search", b"{", 400), ("search", b'{"query": "x", "where": "EXISTS (SELECT 1)"}', 500), ("nowhere", b"{}", 404)):
+        with pytest.raises(urllib.error.HTTPError) as e:
+            urllib.request.urlopen(urllib.request.Request(f"{url}/{path}/", body))
+        assert e.value.code == code and json.load(e.value)["ok"] is False
+    server.shutdown()
 
 
 def test_vault(spark, tmp_path):

@@ -15,8 +15,9 @@ common passages make no blocks: their places in a bitmap of a fixed size are sen
 all tasks, and as the bitmap decides for every text alike, a false mark costs nothing.
 A large block is mostly a group of near copies: its sets are first compared with the
 least of them alone. Blocks that this does not join whole are dealt to tasks by pairs
-of buckets, with all their shingles, and each task returns a spanning forest of the
-links it finds, never the pairs.
+of buckets. A task that finds more than a few pairs to a set makes way for one that is
+dealt all the sets' shingles and returns a spanning forest of the links it confirms, so
+pairs never outgrow rows.
 
 A text of up to SHINGLE words is one shingle; texts without words are equal. Links
 are between sets, so ids play no part. Null is an empty text; very long texts cost
@@ -46,8 +47,9 @@ LEAST = (4, 5)
 #: The most bits in which similar sets differ, of 64 and of 128: five deviations beyond the ten and twenty expected
 #: at LEAST. Sets of fewer shingles than SURE are not pruned by bits.
 BITS, SURE = (24, 40), 16
-#: Sets of a block that are all compared at once; shingles of the sets of a larger block that a task compares with as many.
-MOST_MET, BUCKET = 8, 1 << 18
+#: Sets of a block that are all compared at once; of a larger block, the sets that a task compares with as many, and
+#: if FEW pairs a set do not do, the shingles of such sets.
+MOST_MET, BUCKET, FEW = 8, (1024, 1 << 18), 4
 #: Pairs, or words of bits, that a step takes together.
 CHECKED = 1 << 20
 #: Prefixes' lengths over which frequent shingles are counted.
@@ -179,41 +181,23 @@ def first_pairs(met: DataFrame) -> DataFrame:
     return written(all_.unionByName(star).distinct(), "pairs")
 
 
-def _close(t: pa.Table) -> pa.Table:
-    """Links of a task: a spanning forest of its pairs of sets, of its two buckets if it has two, that are near."""
+def _sides(t: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """A task's columns, and the rows of its two buckets (or twice those of one)."""
     v = {c: t.column(c).to_numpy() for c in ("sid", "pos", "n", "fp", "fq", "label", "u")}
     v |= {c: v[c].view(np.uint64) for c in ("fp", "fq")}
-    x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
-    left, right = np.flatnonzero(v["u"] == x), np.flatnonzero(v["u"] == y)
-    # The shingles that two of these sets have, as bits.
-    all_ = t.column("all").combine_chunks()
-    flat, owner = all_.flatten().to_numpy(), np.repeat(np.arange(len(t)), all_.value_lengths().to_numpy())
-    value, at, many = np.unique(flat, return_inverse=True, return_counts=True)
-    place = np.cumsum(many > 1) - 1
-    shared = np.flatnonzero(many[at] > 1)
-    held = np.zeros((len(t), int((many > 1).sum()) // 64 + 1), np.uint64)
-    np.bitwise_or.at(held, (owner[shared], place[at[shared]] >> 6), np.uint64(1) << (place[at[shared]] & 63).astype(np.uint64))
-    label = np.unique(v["label"], return_inverse=True)[1]
-    root, made = np.arange(int(label.max()) + 1), []
-
-    def keep(i: np.ndarray, j: np.ndarray) -> None:
-        nonlocal root
-        for k in range(0, len(i), CHECKED):
-            p, q = i[k : k + CHECKED], j[k : k + CHECKED]
-            n, m = v["n"][p], v["n"][q]
-            fits = (root[label[p]] != root[label[q]]) & (LEAST[1] * np.minimum(n, m) >= LEAST[0] * np.maximum(n, m))
-            fits &= sum(LEAST) * np.minimum(n - v["pos"][p], m - v["pos"][q]) >= LEAST[0] * (n + m)
-            bits = np.bitwise_count(v["fp"][p] ^ v["fp"][q]).astype(int) + np.bitwise_count(v["fq"][p] ^ v["fq"][q])
-            fits &= (bits <= BITS[1]) | (np.minimum(n, m) < SURE)
-            p, q = p[fits], q[fits]
-            for c in range(0, len(p), max(1, CHECKED // held.shape[1])):
-                a, b = p[c : c + max(1, CHECKED // held.shape[1])], q[c : c + max(1, CHECKED // held.shape[1])]
-                both = np.bitwise_count(held[a] & held[b]).sum(1, dtype=np.int64)
-                near = sum(LEAST) * both >= LEAST[0] * (v["n"][a] + v["n"][b])
-                a, b = a[near], b[near]
-                _, first = np.unique(np.stack([root[label[a]], root[label[b]]]), axis=1, return_index=True)
-                made.append(np.stack([v["sid"][a[first]], v["sid"][b[first]]]))
-                root = merge(root, label[a[first]], label[b[first]])
+    return v, *(np.flatnonzero(v["u"] == t.column(c)[0].as_py()) for c in ("x", "y"))
+
+
+def _met(v: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of pairs that may be near, of unlike labels: the tries of the sides' fingerprints walked together."""
+
+    def fit(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, m = v["n"][i], v["n"][j]
+        keep = (v["label"][i] != v["label"][j]) & (LEAST[1] * np.minimum(n, m) >= LEAST[0] * np.maximum(n, m))
+        keep &= sum(LEAST) * np.minimum(n - v["pos"][i], m - v["pos"][j]) >= LEAST[0] * (n + m)
+        bits = np.bitwise_count(v["fp"][i] ^ v["fp"][j]).astype(int) + np.bitwise_count(v["fq"][i] ^ v["fq"][j])
+        keep &= (bits <= BITS[1]) | (np.minimum(n, m) < SURE)
+        return i[keep], j[keep]
 
     def members(side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         side = side[np.argsort(v["fp"][side], kind="stable")]
@@ -221,39 +205,93 @@ def _close(t: pa.Table) -> pa.Table:
         return side, prints, np.append(start, len(side))
 
     (a, fa, sa), (b, fb, sb) = members(left), members(right)
+    same = len(left) == len(right) and bool((left == right).all())
 
-    def met() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of fingerprints within the budget: equal ones of one side, and those that the trie walk finds."""
-        if x == y:
+    def prints() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if same:
             yield np.arange(len(fa)), np.arange(len(fa))
-        yield from close_pairs(fa, fb, BITS[0], x == y)
-
-    for i, j in met():  # now of the sets that have them
-        count = (sa[i + 1] - sa[i]) * (sb[j + 1] - sb[j])
-        of = np.repeat(np.arange(len(i)), count)
-        k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        wide = (sb[j + 1] - sb[j])[of]
-        keep(a[sa[i][of] + k // wide], b[sb[j][of] + k % wide])
+        yield from close_pairs(fa, fb, BITS[0], same)
+
+    for i, j in prints():  # now of the sets that have them
+        many = (sa[i + 1] - sa[i]) * (sb[j + 1] - sb[j])
+        cuts = np.flatnonzero(np.diff(np.cumsum(many) // CHECKED)) + 1
+        for i_, j_, count in zip(np.split(i, cuts), np.split(j, cuts), np.split(many, cuts)):
+            of = np.repeat(np.arange(len(i_)), count)
+            k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            wide = (sb[j_ + 1] - sb[j_])[of]
+            yield fit(a[sa[i_][of] + k // wide], b[sb[j_][of] + k % wide])
     short = [s[v["n"][s] < 2 * SURE] for s in (left, right)]  # bits do not prune pairs with so few shingles
     for i in short[0]:
-        keep(np.full(len(short[1]), i), short[1])
-    out = np.concatenate([np.empty((2, 0), np.int64), *made], 1)
+        yield fit(np.full(len(short[1]), i), short[1])
+
+
+def _few(t: pa.Table) -> pa.Table:
+    """Pairs (a, b) of a task that may be near; if they are more than FEW to a set, the block h alone, as crowded."""
+    v, left, right = _sides(t)
+    found, size = [np.empty((2, 0), np.int64)], 0
+    for i, j in _met(v, left, right):
+        pair = np.stack([np.minimum(v["sid"][i], v["sid"][j]), np.maximum(v["sid"][i], v["sid"][j])])
+        found.append(np.unique(pair, axis=1))
+        size += found[-1].shape[1]
+        if size > FEW * len(t):
+            return pa.table({"a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64()), "h": t.column("h")[:1].combine_chunks()})
+    out = np.concatenate(found, 1)
+    return pa.table({"a": pa.array(out[0]), "b": pa.array(out[1]), "h": pa.nulls(out.shape[1], pa.int64())})
+
+
+def _crowded(t: pa.Table) -> pa.Table:
+    """Links of a task of a crowded block: a spanning forest of its pairs that are near."""
+    v, left, right = _sides(t)
+    # The shingles that two of these sets have, as bits.
+    all_ = t.column("all").combine_chunks()
+    flat, owner = all_.flatten().to_numpy(), np.repeat(np.arange(len(t)), all_.value_lengths().to_numpy())
+    _, at, many = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.cumsum(many > 1) - 1
+    shared = np.flatnonzero(many[at] > 1)
+    held = np.zeros((len(t), int((many > 1).sum()) // 64 + 1), np.uint64)
+    np.bitwise_or.at(held, (owner[shared], place[at[shared]] >> 6), np.uint64(1) << (place[at[shared]] & 63).astype(np.uint64))
+    label = np.unique(v["label"], return_inverse=True)[1]
+    root, made = np.arange(int(label.max()) + 1), [np.empty((2, 0), np.int64)]
+    step = max(1, CHECKED // held.shape[1])
+    for p, q in _met(v, left, right):
+        for c in range(0, len(p), step):
+            a, b = p[c : c + step], q[c : c + step]
+            apart = root[label[a]] != root[label[b]]
+            a, b = a[apart], b[apart]
+            both = np.bitwise_count(held[a] & held[b]).sum(1, dtype=np.int64)
+            near = sum(LEAST) * both >= LEAST[0] * (v["n"][a] + v["n"][b])
+            a, b = a[near], b[near]
+            _, first = np.unique(np.stack([root[label[a]], root[label[b]]]), axis=1, return_index=True)
+            made.append(np.stack([v["sid"][a[first]], v["sid"][b[first]]]))
+            root = merge(root, label[a[first]], label[b[first]])
+    out = np.concatenate(made, 1)
     return pa.table({"a": pa.array(out.min(0)), "b": pa.array(out.max(0))})
 
 
+def _dealt(rows: DataFrame, buckets: Column, *more: str) -> DataFrame:
+    """Rows of blocks h, dealt to pairs (x, y) of ``buckets`` buckets by sid; u is a row's own."""
+    own = rows.withColumn("s", F.ceil(buckets).cast("int")).withColumn("u", F.pmod(F.xxhash64("sid"), F.col("s")).cast("int"))
+    both = own.withColumn("v", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    return both.select("h", F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"), "u", "sid", "pos", "n", "fp", "fq", "label", *more).groupBy("h", "x", "y")
+
+
 def other_links(docs: DataFrame, met: DataFrame, joined: DataFrame) -> DataFrame | None:
     """Links within large blocks between sets that none joins yet; None if no such block is left."""
     large = met.where(F.col("g") > MOST_MET).join(joined, "sid", "left").withColumn("label", F.coalesce("root", "sid")).drop("root")
     mixed = large.groupBy("h").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.sum("n").alias("size")).where("l <> m").select("h", "size")
     rows = written(large.join(mixed, "h"), "mixed")
     if rows.isEmpty():
+        forget(rows)
         return None
     sets_ = whole(docs, rows.select("sid").distinct())
-    buckets = rows.withColumn("s", F.ceil(F.col("size") / BUCKET).cast("int")).withColumn("u", F.pmod(F.xxhash64("sid"), F.col("s")).cast("int"))
-    dealt = buckets.withColumn("v", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).join(sets_, "sid")
-    dealt = dealt.select("h", F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"), "u", "sid", "pos", "n", "fp", "fq", "label", "all")
-    out = written(dealt.groupBy("h", "x", "y").applyInArrow(_close, "a long, b long").distinct(), "links")
-    forget(rows, sets_)
+    found = written(_dealt(rows, F.col("g") / BUCKET[0]).applyInArrow(_few, "a long, b long, h long"), "few")
+    pairs = written(found.where("h is null").select("a", "b").distinct(), "pairs")
+    out, crowded = confirmed(pairs, sets_), found.where("h is not null").select("h").distinct()
+    if not crowded.isEmpty():
+        full = rows.join(crowded, "h").join(sets_, "sid")
+        more = written(_dealt(full, F.col("size") / BUCKET[1], "all").applyInArrow(_crowded, "a long, b long").distinct(), "links")
+        out = out.unionByName(more)
+    forget(rows, found, pairs, sets_)
     return out
 
 
@@ -268,14 +306,11 @@ def whole(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return written(one.mapInArrow(run, "sid long, all array<long>"), "shingles")
 
 
-def confirmed(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of sets, those of similarity LEAST or more."""
-    sets_ = whole(docs, near.select(F.col("a").alias("sid")).union(near.select("b")).distinct())
-    both = near.join(sets_.toDF("a", "x"), "a").join(sets_.toDF("b", "y"), "b")
+def confirmed(pairs: DataFrame, sets_: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of sets, whose shingles ``sets_`` holds, those of similarity LEAST or more."""
+    both = pairs.join(sets_.toDF("a", "x"), "a").join(sets_.toDF("b", "y"), "b")
     same = F.size(F.array_intersect("x", "y")).cast("long")
-    out = written(both.withColumn("same", same).where(LEAST[1] * F.col("same") >= LEAST[0] * (F.size("x") + F.size("y") - F.col("same"))).select("a", "b"), "links")
-    forget(sets_, near)
-    return out
+    return written(both.withColumn("same", same).where(LEAST[1] * F.col("same") >= LEAST[0] * (F.size("x") + F.size("y") - F.col("same"))).select("a", "b"), "links")
 
 
 def with_sid(docs: DataFrame, out: str = "sid") -> DataFrame:
@@ -291,7 +326,11 @@ def with_sid(docs: DataFrame, out: str = "sid") -> DataFrame:
 def roots(docs: DataFrame) -> DataFrame:
     """(sid, root): the least set reachable by links of similarity LEAST or more, for sets that have a link."""
     met = blocks(sets(docs))
-    links = confirmed(docs, first_pairs(met))
+    pairs = first_pairs(met)
+    sets_ = whole(docs, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct())
+    links = confirmed(pairs, sets_)
+    forget(pairs, sets_)
     joined = components(links).withColumnRenamed("node", "sid")
     more = other_links(docs, met, joined)
+    forget(met)
     return joined if more is None else components(links.unionByName(more)).withColumnRenamed("node", "sid")

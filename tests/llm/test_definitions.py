@@ -367,12 +367,14 @@ def test_hot_shingles_come_last_for_all(spark, monkeypatch):
     assert all(group[i] == group[40 + i] for i in range(5)) and len(set(group.values())) == 40
 
 
-@pytest.mark.parametrize("most, bucket", [(2, 400), (2, 1 << 18), (8, 2000)])
-def test_a_large_group_of_copies_far_and_near(spark, monkeypatch, most, bucket):
+@pytest.mark.parametrize("most, bucket, few", [(2, (5, 400), 0), (2, (1024, 1 << 18), 1), (8, (7, 2000), 1000)])
+def test_a_large_group_of_copies_far_and_near(spark, monkeypatch, most, bucket, few):
     """Copies of one text, with none to many words changed: some near the text, some near each other alone, some near none."""
     monkeypatch.setattr(near, "MOST_MET", most)
     monkeypatch.setattr(near, "BUCKET", bucket)
-    rnd = random.Random(most + bucket)
+    near_few = near._few
+    monkeypatch.setattr(near, "_few", lambda t: (setattr(near, "FEW", few), near_few(t))[1])
+    rnd = random.Random(most + few)
     base = [f"w{i}" for i in range(120)]
     texts = []
     for i in range(90):

@@ -392,7 +392,7 @@ def test_pipeline_drops_all_near_copies(spark, monkeypatch, most):
     from lodestone.llm import near
 
     monkeypatch.setattr(near, "MOST_MET", most)
-    monkeypatch.setattr(near, "BUCKET", 300)
+    monkeypatch.setattr(near, "BUCKET", (4, 300))
     rnd, texts = random.Random(4), [None, "", "a b", "A  b", "a b c", "p q r s t u v w", "p q r s t u v w x"]
     for _ in range(40):
         ws = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randrange(30, 200))]

@@ -36,10 +36,11 @@ class Indexer:
         bad = done.where("outcome = 'failed'").agg(F.count(F.lit(1)), F.min_by(F.struct("path", "error"), "path")).first()
         if bad[0]:
             raise RuntimeError(f"{bad[0]} notes failed, first {bad[1].path}: {bad[1].error}")
-        return maintain.stats(done.withColumnRenamed("outcome", "decision"), removed)
+        counts = maintain.stats(done.withColumnRenamed("outcome", "decision"), removed)
+        return self.store.spark.createDataFrame([tuple(counts.first())], counts.schema)
 
     def outcomes(self, notes: DataFrame, batch: int | str | None = None, now: str | None = None) -> DataFrame:
-        """Like index; returns path, outcome (the decision, or failed) and error of each note."""
+        """Like index; returns path, outcome (the decision, or failed) and error of each note, to be read before the next call."""
         return self._run(notes, None, batch, now)[0]
 
     def _run(self, notes: DataFrame, live: DataFrame | None, batch: int | str | None, now: str | None) -> tuple[DataFrame, int]:

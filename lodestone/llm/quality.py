@@ -41,8 +41,8 @@ EPOCHS, BATCH, RATE, LEAST_STEPS = 6, 32, 2.0, 500
 SAMPLE = (2500, 10_000_000)
 SPLIT = 0.7
 MOST_KEPT = 400_000
-#: Words whose features are made at a time while training.
-WORDS = 20_000
+#: Words whose features are made at a time.
+WORDS = 10_000
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,17 +97,18 @@ class Model:
         return Model, (self.weight, self.bias)
 
     def _learn(self) -> None:
-        new = list(islice(self.known, len(self.sums), None))
-        if not new:
-            return
-        flat, n = features(new)
-        total = np.add.reduceat(self.weight[flat], np.cumsum(n) - n)
-        self.sums = np.concatenate([self.sums, np.stack([total, n], 1)])
-        self.hashes = np.concatenate([self.hashes, hashes(new)])
+        new = islice(self.known, len(self.sums), None)
+        sums, hashed = [self.sums], [self.hashes]
+        while part := list(islice(new, WORDS)):
+            flat, n = features(part)
+            sums.append(np.stack([np.add.reduceat(self.weight[flat], np.cumsum(n) - n), n], 1))
+            hashed.append(hashes(part))
+        self.sums, self.hashes = np.concatenate(sums), np.concatenate(hashed)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if len(self.known) > MOST_KEPT:
-            self.__post_init__()
+            self.known.clear()  # a new one would leave the old to the cycle collector
+            self.sums, self.hashes = np.empty((0, 2)), np.empty(0, np.uint64)
         words = [(t or "").split() for t in texts]
         at = [np.fromiter(map(self.known.__getitem__, w), np.int64, len(w)) for w in words]
         self._learn()

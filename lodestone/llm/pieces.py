@@ -35,11 +35,13 @@ class Store:
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cut: Callable[[str], list[str]], most: int = MOST_KEPT):
         self.encode, self.cut, self.most = encode, cut, most
+        self.index: dict[str, int] = defaultdict()
+        self.index.default_factory = self.index.__len__
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = defaultdict()
-        self.index.default_factory = self.index.__len__
+        """Forgets all strings; a new dictionary would leave the old to the cycle collector."""
+        self.index.clear()
         self.flat = np.empty(0, np.int32)
         self.ends = np.zeros(1, np.int64)
 

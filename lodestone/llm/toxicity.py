@@ -73,6 +73,12 @@ class Words:
         self.known.default_factory = self.known.__len__
         self.plain: dict[str, int] = defaultdict()  # by letters alone
         self.plain.default_factory = self.plain.__len__
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets all words; new dictionaries would leave the old to the cycle collector."""
+        self.known.clear()
+        self.plain.clear()
         self.as_plain = np.empty(0, np.int64)
         self.flat, self.ends = np.empty(0, np.int32), np.zeros(1, np.int64)
         self.sums = np.empty(0)
@@ -80,7 +86,7 @@ class Words:
     def bags(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(sentence, word by its letters) of each distinct word of a sentence, and the document of each sentence."""
         if len(self.known) > MOST_KEPT:
-            self.__init__()
+            self.clear()
         cut = [sentences(t) for t in texts]
         of = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
         words = [s.split() for c in cut for s in c]

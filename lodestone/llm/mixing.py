@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import columns, digits_for, fresh, located, numbered, spread_key, table_of
+from lodestone.llm.common import columns, digits_for, fresh, located, numbered, spread_key, table_of, written
 
 PRODUCTION_WEIGHTS = {"src0": 4}
 PRODUCTION_BLOCK = 64
@@ -154,8 +154,9 @@ def in_order(docs: DataFrame, weights: dict[str, int] | None = None, block_rows:
     own = notes.groupBy("k", cell.alias("cell")).agg(F.collect_list(F.struct(*by, "part", "place")).alias("own"), F.max(F.struct("part", "place")).alias("last"))
     every = plan.shares.select("k", F.explode(F.sequence(F.lit(0), F.lit(16**digits - 1))).alias("c")).select("k", F.lower(F.lpad(F.hex("c"), digits, "0")).alias("cell"))
     before = Window.partitionBy("k").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    # A row for a source's sixteenth, 256th, ...: as many as partitions, or up to sixteen times that.
-    cells = every.join(own, ["k", "cell"], "left").select("k", "cell", "own", F.max("last").over(before).alias("base"))
+    # A row for a source's sixteenth, 256th, ...: as many as partitions, or up to sixteen times that. Written, so that
+    # the planner knows its size and broadcasts it where that is small; beyond, documents shuffle once more to meet it.
+    cells = written(every.join(own, ["k", "cell"], "left").select("k", "cell", "own", F.max("last").over(before).alias("base")), "cells")
     passed = F.filter("own", lambda x: F.struct(*[x[c].alias(c) for c in by]) <= F.struct(*[F.col(c).alias(c) for c in by]))
     found = F.array_max(F.array_compact(F.concat(F.array("base"), F.transform(F.coalesce(passed, F.array()), lambda x: F.struct(x["part"].alias("part"), x["place"].alias("place"))))))
     rows = held.withColumn("cell", cell).join(cells, ["k", "cell"]).select("held", "k", *by, found.alias("at"))

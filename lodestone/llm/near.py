@@ -302,8 +302,11 @@ def whole(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("sid"), _lists([shingles(x.as_py()).view(np.int64) for x in b.column("text")])], names=["sid", "all"])
 
+    ids = written(ids, "ids")  # of a size that the planner knows, so that few of them do not move the texts
     one = with_sid(docs.select("text")).join(ids, "sid", "left_semi").groupBy("sid").agg(F.min("text").alias("text"))
-    return written(one.mapInArrow(run, "sid long, all array<long>"), "shingles")
+    out = written(one.mapInArrow(run, "sid long, all array<long>"), "shingles")
+    forget(ids)
+    return out
 
 
 def confirmed(pairs: DataFrame, sets_: DataFrame) -> DataFrame:

@@ -55,10 +55,10 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends here."""
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: lineage ends here. ``files`` gathers a small one in so many."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.repartition(files) if files else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
     return out

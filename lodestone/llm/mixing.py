@@ -156,7 +156,7 @@ def in_order(docs: DataFrame, weights: dict[str, int] | None = None, block_rows:
     before = Window.partitionBy("k").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     # A row for a source's sixteenth, 256th, ...: as many as partitions, or up to sixteen times that. Written, so that
     # the planner knows its size and broadcasts it where that is small; beyond, documents shuffle once more to meet it.
-    cells = written(every.join(own, ["k", "cell"], "left").select("k", "cell", "own", F.max("last").over(before).alias("base")), "cells")
+    cells = written(every.join(own, ["k", "cell"], "left").select("k", "cell", "own", F.max("last").over(before).alias("base")), "cells", 8)
     passed = F.filter("own", lambda x: F.struct(*[x[c].alias(c) for c in by]) <= F.struct(*[F.col(c).alias(c) for c in by]))
     found = F.array_max(F.array_compact(F.concat(F.array("base"), F.transform(F.coalesce(passed, F.array()), lambda x: F.struct(x["part"].alias("part"), x["place"].alias("place"))))))
     rows = held.withColumn("cell", cell).join(cells, ["k", "cell"]).select("held", "k", *by, found.alias("at"))

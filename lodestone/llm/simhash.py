@@ -39,6 +39,8 @@ from lodestone.llm.trie import close_pairs, merge
 SHINGLE, SEED, BITS = 3, 42, 2
 #: Fingerprints in a subtree that one task takes whole.
 LEAST_LEAF, MOST_LEAF = 2048, 65536
+#: Files of a table of nodes: a few million rows at most.
+FILES = 8
 
 
 def fingerprint_bytes(text: str | None, size: int = SHINGLE) -> bytes:
@@ -89,21 +91,29 @@ def masks(depth: int, bits: int) -> list[int]:
 def leaves(distinct: DataFrame, n: int) -> DataFrame:
     """(depth, prefix): the subtrees, cut where one holds few enough fingerprints, that the leaves fall into.
 
-    A node is the first ``depth`` bits. Nodes with too many fingerprints are cut again
-    six bits deeper, until none has; every count is a grouped sum, kept as a table.
+    A node is the first ``depth`` bits. Fingerprints are counted a few bits deep, and the
+    counts added up towards the root: a leaf is the highest node that is small enough.
+    Nodes that are too large even at that depth are counted again six bits deeper, and so on.
     """
     most = min(max(n // 64, LEAST_LEAF), MOST_LEAF)
-    depth = min(max((n // most).bit_length() + 3, 4), 16)
+    above, depth = 0, min(max((n // most).bit_length() + 3, 4), 16)
     rows, found = distinct.select("fp"), None
     while True:
-        counts = written(rows.groupBy(_prefix(depth).alias("prefix")).agg(F.count(F.lit(1)).alias("n")), "nodes")
-        heavy = counts.where((F.col("n") > most) & F.lit(depth < 64)).select("prefix")
-        here = counts.join(heavy, "prefix", "left_anti").select(F.lit(depth).alias("depth"), "prefix")
+        counts = rows.groupBy(_prefix(depth).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+        up = F.explode(F.sequence(F.lit(above), F.lit(depth)))
+        nodes = counts.select(up.alias("depth"), "prefix", "n").select("depth", F.expr(f"shiftrightunsigned(prefix, {depth} - depth)").alias("prefix"), "n")
+        nodes = written(nodes.groupBy("depth", "prefix").agg(F.sum("n").alias("n")), "nodes", FILES)
+        # The parents of the highest nodes are too large, or there is none.
+        parents = nodes.where(F.col("n") > most).select((F.col("depth") + 1).alias("depth"), "prefix")
+        small = nodes.where((F.col("n") <= most) | F.lit(depth == 64) & (F.col("depth") == 64)).withColumn("parent", F.shiftrightunsigned("prefix", 1))
+        below = small.alias("x").join(parents.alias("y"), (F.col("x.depth") == F.col("y.depth")) & (F.col("x.parent") == F.col("y.prefix")), "left_semi")
+        here = below.unionByName(small.where(F.col("depth") == above)).select("depth", "prefix")
         found = here if found is None else found.unionByName(here)
+        heavy = nodes.where((F.col("depth") == depth) & (F.col("n") > most)).select("prefix") if depth < 64 else nodes.limit(0).select("prefix")
         if heavy.isEmpty():
-            return written(found, "leaves")
+            return written(found, "leaves", FILES)
         rows = rows.join(heavy, _prefix(depth) == F.col("prefix"), "left_semi")
-        depth = min(depth + 6, 64)
+        above, depth = depth + 1, min(depth + 6, 64)
 
 
 def _prefix(depth: int) -> Column:
@@ -116,18 +126,14 @@ def node_pairs(cut: DataFrame, bits: int) -> DataFrame:
     What is left of walking both sides of the trie together to the leaves: a node
     meets the nodes that the error budget can reach from it, and no others are formed.
     """
-    depths = sorted(r[0] for r in cut.select("depth").distinct().collect())  # some of 1 to 64
-    out = None
-    for i, x in enumerate(depths):
-        flips = F.array(*[F.lit(m).cast("long") for m in masks(x, bits)])  # 137 at 16 bits, 2081 at 64 (two of them)
-        a = cut.where(F.col("depth") == x).select(F.col("prefix").alias("a"))
-        reach = a.select("a", F.explode(flips).alias("m")).select("a", F.col("a").bitwiseXOR(F.col("m")).alias("key"))
-        for y in depths[i:]:
-            b = cut.where(F.col("depth") == y).select(F.col("prefix").alias("b"), F.shiftrightunsigned("prefix", y - x).alias("key"))
-            met = reach.join(b, "key").where(F.col("a") <= F.col("b") if x == y else F.lit(True))
-            one = met.select(F.lit(x).alias("a_depth"), "a", F.lit(y).alias("b_depth"), "b")
-            out = one if out is None else out.unionByName(one)
-    return out
+    depths = sorted(r[0] for r in cut.select("depth").distinct().collect())  # some of 0 to 64
+    # At most 2081 flips a depth (two of 64 bits).
+    flips = cut.sparkSession.createDataFrame([(x, m) for x in depths for m in masks(x, bits)], "depth int, flip long")
+    reach = cut.join(F.broadcast(flips), "depth").select(F.col("depth").alias("a_depth"), F.col("prefix").alias("a"), F.col("prefix").bitwiseXOR(F.col("flip")).alias("key"))
+    higher = F.filter(F.array(*[F.lit(x) for x in depths]), lambda x: x <= F.col("b_depth"))
+    deep = cut.select(F.col("depth").alias("b_depth"), F.col("prefix").alias("b")).withColumn("a_depth", F.explode(higher))
+    deep = deep.withColumn("key", F.expr("CASE WHEN a_depth = 0 THEN 0L ELSE shiftrightunsigned(b, b_depth - a_depth) END"))
+    return reach.join(deep, ["a_depth", "key"]).where((F.col("a_depth") < F.col("b_depth")) | (F.col("a") <= F.col("b"))).select("a_depth", "a", "b_depth", "b")
 
 
 def trie_links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
@@ -136,12 +142,10 @@ def trie_links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     depths = sorted(r[0] for r in cut.select("depth").distinct().collect())
     if not depths:
         return distinct.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    pairs = written(node_pairs(cut, bits), "pairs")
-    placed = None
-    for x in depths:  # each fingerprint falls into one leaf
-        own = cut.where(F.col("depth") == x).select("depth", "prefix")
-        one = distinct.select("fp", "rep", _prefix(x).alias("prefix")).join(own, "prefix")
-        placed = one if placed is None else placed.unionByName(one)
+    pairs = written(node_pairs(cut, bits), "pairs", FILES)
+    # Each fingerprint falls into the one leaf that is among its prefixes.
+    own = F.explode(F.array(*[F.struct(F.lit(x).alias("depth"), _prefix(x).alias("prefix")) for x in depths]))
+    placed = distinct.select("fp", "rep", own.alias("leaf")).select("fp", "rep", "leaf.*").join(cut, ["depth", "prefix"])
     as_a = placed.withColumnsRenamed({"depth": "a_depth", "prefix": "a"}).join(pairs, ["a_depth", "a"]).withColumn("side", F.lit(0))
     other = pairs.where((F.col("a_depth") != F.col("b_depth")) | (F.col("a") != F.col("b")))
     as_b = placed.withColumnsRenamed({"depth": "b_depth", "prefix": "b"}).join(other, ["b_depth", "b"]).withColumn("side", F.lit(1))

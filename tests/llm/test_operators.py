@@ -1,6 +1,5 @@
 """Operators against brute force, on small tables with nulls, empties, ties, repeats and clashing columns."""
 
-import base64
 import hashlib
 import random
 import zlib

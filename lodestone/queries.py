@@ -321,7 +321,7 @@ def service_sql(limit: int = 10, pool: int = 50) -> str:
     q = Letters()([QUESTION])[0]
     terms, wide = ", ".join(f"'{w}'" for w in sorted(set(QUESTION.split()))), 4 * limit
     counts = ", ".join(f"(length(low) - length(replace(low, '{c}', '')))::DOUBLE" for c in Letters.names)
-    return f""", c AS MATERIALIZED (SELECT *, regexp_extract_all(low, '[\p{{L}}\p{{N}}]+') AS w, [{counts}] AS v FROM (SELECT *, lower(text) AS low FROM ({chunks_sql()}))),
+    return f""", c AS MATERIALIZED (SELECT *, regexp_extract_all(low, '[\\p{{L}}\\p{{N}}]+') AS w, [{counts}] AS v FROM (SELECT *, lower(text) AS low FROM ({chunks_sql()}))),
         ok AS MATERIALIZED (SELECT * FROM c WHERE tags_text LIKE '%|lang/en|%' AND length(text) > 300),
         near AS (SELECT *, 1 / (1 + distance) AS score, row_number() OVER (ORDER BY distance, id) AS vo FROM (
             SELECT id, round(1 - list_dot_product(v, {q}::DOUBLE[]) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product({q}::DOUBLE[], {q}::DOUBLE[]))), 9) + 0.0 AS distance

@@ -46,8 +46,10 @@ class Indexer:
     def _run(self, notes: DataFrame, live: DataFrame | None, batch: int | str | None, now: str | None) -> tuple[DataFrame, int]:
         s, spark = self.settings, self.store.spark
         now = now or datetime.now(UTC).isoformat()
-        chunks = self.store.read()
-        prepared = prepare(only_markdown(notes), s.chunk_size, s.chunk_overlap, s.embedding_model, now)
+        notes = only_markdown(notes)
+        # A few notes are held against their parts alone.
+        chunks = self.store.read(notes.select("path")) if live is None else self.store.read()
+        prepared = prepare(notes, s.chunk_size, s.chunk_overlap, s.embedding_model, now)
         decided = maintain.decide(prepared, maintain.path_state(chunks)).persist()
         if self._work:  # the report of the last call stands until now
             self.store.files.delete(self._work)

@@ -116,9 +116,14 @@ class Store:
         dirs = [f"{self.root}/{d}" for p, own in was["dirs"].items() if parts is None or int(p) in parts for d in own]
         return self.spark.read.schema(self.schema).parquet(*dirs) if dirs else self.spark.createDataFrame([], self.schema)
 
-    def read(self) -> DataFrame:
-        """The newest version; no rows where there is none."""
-        return self._read(self.pointer())
+    def _touched(self, was: dict, paths: DataFrame) -> list[int]:
+        # At most one row a part.
+        return [r[0] for r in paths.select(self._part("path", was["parts"]).alias("p")).distinct().collect()]
+
+    def read(self, paths: DataFrame | None = None) -> DataFrame:
+        """The newest version; no rows where there is none. With ``paths`` (a column path), only the parts that hold them."""
+        was = self.pointer()
+        return self._read(was, None if paths is None else self._touched(was, paths))
 
     def commit(self, rows: DataFrame, batch: int | str | None = None) -> int:
         """Makes ``rows`` the table. The rows may come from the version that they replace."""
@@ -130,8 +135,7 @@ class Store:
         was = self.pointer()
         if batch is not None and was["batch"] == batch:
             return was["version"]
-        # At most one row a part.
-        touched = [r[0] for r in paths.select(self._part("path", was["parts"]).alias("p")).distinct().collect()]
+        touched = self._touched(was, paths)
         return self._commit(was, change(self._read(was, touched)), touched, batch) if touched else was["version"]
 
     def append(self, rows: DataFrame, batch: int | str | None = None) -> int:

@@ -182,6 +182,8 @@ def test_a_change_leaves_other_parts_files(spark, tmp_path):
     now = store.pointer()
     assert len(was) == 8 and sum(was[p] != now["dirs"][p] for p in was) == 1 and now["batch"] == "b"
     assert _held(store) == sorted([(f"p{i}", i) for i in range(40) if i != 7] + [("p7", -1)])
+    part = store.read(only)
+    assert part.where("path = 'p7'").count() == 1 and 1 <= part.count() < 40 and len(part.inputFiles()) < len(store.read().inputFiles())
     with pytest.raises(ValueError):
         store.rewrite(only, lambda old: _rows(spark, *[(f"x{i}", i) for i in range(20)]))
     for i in range(3):

@@ -8,13 +8,14 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The white space and line ends of ECMAScript, as a character class.
-SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: The white space and line ends of ECMAScript, also as a character class.
+WHITE = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+SPACE = f"[{WHITE}]"
 EXCERPT = 700
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def unix_lines(c: Column) -> Column:
